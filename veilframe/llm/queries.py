@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, quality_rules
+from . import bpe, quality, quality_rules, secrets
 from .common import table
 
 
@@ -26,6 +26,11 @@ def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.line_frequency(table(spark, sf_dir, "documents"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_layers", "n_oversize")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return d.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
@@ -34,6 +39,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_line_frequency": op3_line_frequency,
+    "op4_secrets": op4_secrets,
     "op8_quality": op8_quality,
 }
 ORACLES: dict[str, str] = {"op3_line_frequency": quality_rules.SQL}
