@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, quality_rules, secrets
+from . import bpe, pii, quality, quality_rules, secrets
 from .common import table
 
 
@@ -36,10 +36,15 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_line_frequency": op3_line_frequency,
     "op4_secrets": op4_secrets,
     "op8_quality": op8_quality,
+    "op9_pii": op9_pii,
 }
 ORACLES: dict[str, str] = {"op3_line_frequency": quality_rules.SQL}
