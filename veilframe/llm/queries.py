@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, pii, quality, quality_rules, secrets
+from . import bpe, packing, pii, quality, quality_rules, secrets, toxicity
 from .common import table
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -31,6 +35,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_layers", "n_oversize")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return d.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return d.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
@@ -41,9 +50,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
     "op3_line_frequency": op3_line_frequency,
     "op4_secrets": op4_secrets,
+    "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
     "op9_pii": op9_pii,
 }
