@@ -311,8 +311,11 @@ def round_trip(docs: DataFrame, tokenizer: str, words: Iterable[str] = ()) -> Da
     spark: SparkSession = docs.sparkSession
     ship(spark)
     path = build(tokenizer, words)
-    spark.sparkContext.addFile(path)
     name = os.path.basename(path)
+    sent = spark.sparkContext.__dict__.setdefault("_veilframe_files", set())
+    if name not in sent:  # the name holds the content's hash; Spark refuses a name from two paths
+        spark.sparkContext.addFile(path)
+        sent.add(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(name)
