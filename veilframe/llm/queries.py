@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, pii, quality, quality_rules, secrets, toxicity
+from . import bpe, neighbours, packing, pii, quality, quality_rules, secrets, toxicity
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_layers", "n_oversize")
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return d.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_line_frequency": op3_line_frequency,
     "op4_secrets": op4_secrets,
+    "op5_neighbours": op5_neighbours,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
     "op9_pii": op9_pii,
