@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -56,14 +57,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *done: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more, and let Spark drop shuffle files of past jobs."""
+    for df in done:
+        for found in [x for x in _made if any(x[1].split("://")[-1] in f for f in df.inputFiles()[:1])]:
+            _made.remove(found)
+            _delete(*found)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop_materialized() -> None:
     """Remove what materialize() wrote; called at exit, or by a caller once results are written."""
     while _made:
         spark, path = _made.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session has ended; the folder's owner cleans up
             return
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, near_duplicates, neighbours, packing, pii, quality, quality_rules, secrets, toxicity
+from . import bpe, near_duplicates, neighbours, packing, pii, quality, quality_rules, secrets, substrings, toxicity
 from .common import table
 
 
@@ -39,6 +39,11 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return d.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_frequency": op3_line_frequency,
     "op4_secrets": op4_secrets,
     "op5_neighbours": op5_neighbours,
+    "op6_substrings": op6_substrings,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
     "op9_pii": op9_pii,
