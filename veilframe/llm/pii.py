@@ -239,14 +239,19 @@ def restore(text: str, key: bytes = DEMO_KEY) -> str:
 
 
 def pseudonymize(docs: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
-    """docs with the values in its column text replaced; the other columns as they were."""
+    """docs with the values in its column text replaced; n_chars (if there) follows, other columns stay."""
     ship(docs.sparkSession)
     at = docs.columns.index("text")
+    size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             new = [None if t is None else replace(t, find(t, key)) for t in b.column(at).to_pylist()]
-            yield b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
+            out = b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
+            if size is not None:
+                old = b.column(size).to_pylist()
+                out = out.set_column(size, b.schema.field(size), pa.array([n if t is None else len(t) for n, t in zip(old, new, strict=True)], b.schema.field(size).type))
+            yield out
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -285,3 +285,34 @@ def _joined(docs: DataFrame, spans: DataFrame) -> DataFrame:
     touched = rows.join(ids, ["did", "th"], "left_semi").join(spans, ["did", "th"], "left").select("doc_id", "raw", "spans")
     rest = rows.join(ids, ["did", "th"], "left_anti").select("doc_id", "raw", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
     return touched.unionByName(rest)
+
+
+def cleaned(docs: DataFrame, window: int = 200) -> DataFrame:
+    """docs without the repeated bytes of their column text; a character of which a byte went goes whole,
+    n_chars (if there) follows, the other columns stay as they were. Null texts stay null."""
+    spans = materialize(repeated_spans(docs, window), "spans")
+    release(docs.sparkSession)
+    if spans.isEmpty():
+        return docs
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    did, th = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))), F.hash(text)
+    key = spans.select(F.col("did").alias("_did"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
+    ids = F.broadcast(key.select("_did", "_th")) if spans.count() <= BROADCAST_DOCS else key.select("_did", "_th")
+    on = [did == F.col("_did"), th == F.col("_th")]
+    names, schema = docs.columns, docs.schema
+    at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            new = []
+            for t, x in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
+                raw, u = t.encode(), _union(x)
+                edges = [0, *(p for r in u for p in r), len(raw)]
+                new.append("".join(raw[i:j].decode("utf-8", "ignore") for i, j in zip(edges[::2], edges[1::2], strict=True)))
+            out = b.select(range(len(names))).set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
+            if size is not None:
+                out = out.set_column(size, b.schema.field(size), pa.array(map(len, new), b.schema.field(size).type))
+            yield out
+
+    touched = docs.join(ids, on, "left_semi").join(key, on).select(*[docs[c] for c in names], "_spans").mapInArrow(run, schema)
+    return touched.unionByName(docs.join(ids, on, "left_anti"))
