@@ -135,7 +135,7 @@ def reconcile(progress: DataFrame, receipts: DataFrame) -> DataFrame:
     """Batches that progress and receipts don't agree on, from either side."""
     p = progress.select(F.col("run_id").alias("p_run"), (F.col("committed_batches") - 1).alias("p_seq"), F.col("affected_rows").alias("p_rows"), F.col("batch_id").alias("p_id"))
     j = p.join(receipts, [F.col("p_run") == F.col("run_id"), F.col("p_seq") == F.col("batch_sequence")], "full_outer")
-    return j.where(F.col("p_run").isNull() | F.col("run_id").isNull() | (F.col("p_rows") != F.col("affected_rows")) | (F.col("p_id") != F.col("batch_id"))).select(F.coalesce("p_run", "run_id").alias("run_id"), F.coalesce("p_seq", "batch_sequence").alias("batch_sequence"), F.col("p_rows").alias("progress_rows"), F.col("affected_rows").alias("receipt_rows"))
+    return j.where(F.col("p_run").isNull() | F.col("run_id").isNull() | (F.col("p_rows") != F.col("affected_rows")) | (F.col("p_id") != F.col("batch_id"))).select(F.coalesce("p_run", "run_id").alias("run_id"), F.coalesce("p_seq", "batch_sequence").alias("batch_sequence"), F.coalesce("p_rows", F.lit(0)).alias("progress_rows"), F.coalesce("affected_rows", F.lit(0)).alias("receipt_rows"))
 
 
 def resume_issues(source: DataFrame, masked: DataFrame, target: DataFrame, keys: list[str], columns: list[str], rows_done: int) -> DataFrame:
