@@ -57,7 +57,11 @@ def mentions(check: str, column: str) -> bool:
 
 def normalized(check: str) -> str:
     """White space outside quotes as one blank."""
-    out = []
+    if words(check) is None:
+        return check
+    out: list[str] = []
     for m in _WORDS.finditer(check):
-        out.append(" " if m.lastgroup == "space" else m[0])
-    return re.sub(" +", " ", "".join(out)).strip() if words(check) is not None else check
+        word = " " if m.lastgroup == "space" else m[0]
+        if word != " " or out[-1:] != [" "]:
+            out.append(word)
+    return "".join(out).strip()
