@@ -6,10 +6,10 @@
 2. The table keys are all pairs of a band of the first and one of the second collection: side^2 tables
    from 2 * side * rows minhashes, about the square root of what side^2 own bands would take.
 3. Buckets with the same members are one. In each, the member that meets most others is the pivot, and
-   the others are compared with it; links are confirmed on the full sets. Buckets whose members then
-   lie in one component are done; the others get further pivots, and after ``pivot_rounds`` rounds all
-   remaining pairs across components are compared. No bucket is capped, no link between
-   candidates is left unchecked, and a bucket of n near copies costs n comparisons, not n^2.
+   the others are compared with the foremost pivots they meet; links are confirmed on the full sets.
+   Buckets whose members then lie in one component are done; the others get further pivots, and after
+   ``pivot_rounds`` rounds all remaining pairs across components are compared. No bucket is capped, no
+   link between candidates is left unchecked, and n near copies cost a few n comparisons, not n^2.
 4. Components of the confirmed links give each document the smallest doc_id it is linked with.
 
 Two sets of similarity s share a table with probability (1 - (1 - s^rows)^side)^2: at s = 0.8, the
@@ -30,10 +30,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import materialize, parts, release, ship
 from .components import components
 
 #: Ids that may be broadcast (8 bytes each); beyond, joins shuffle.
@@ -47,7 +47,8 @@ class MinHash:
     percent: int = 80  #: least similarity of linked sets
     side: int = 12  #: bands in each collection
     rows: int = 3  #: minhashes in a band
-    pivot_rounds: int = 3
+    pivot_rounds: int = 5
+    tries: int = 3  #: pivots that a set is compared with in a round
     seed: int = 3
 
 
@@ -184,45 +185,61 @@ def confirmed(pairs: DataFrame, packed: DataFrame, config: MinHash) -> DataFrame
 
 
 def buckets(sets: DataFrame) -> DataFrame:
-    """key, sid of the tables' buckets with several members; of buckets with the same members, one."""
-    keyed = sets.select("sid", F.explode("u").alias("u"), "v").select("sid", "u", F.explode("v").alias("v")).select(F.xxhash64("u", "v").alias("key"), "sid")
-    seen = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.expr("bit_xor(xxhash64(sid))").alias("x"), F.expr("bit_xor(xxhash64(sid, 1))").alias("y"))
-    one = seen.where("c > 1").groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key", "c")
-    return keyed.join(one, "key")
+    """key, sid, c of the tables' buckets with several members; of buckets with the same members, one.
+
+    Counting combines before the shuffle, and the join back may split a large key, so a bucket that
+    holds a third of all sets is no single task's work."""
+    spread = sets.select("sid", "u", "v").repartition(4 * parts(sets.sparkSession), "sid")
+    keyed = spread.select("sid", F.explode("u").alias("u"), "v").select("sid", "u", F.explode("v").alias("v")).select(F.xxhash64("u", "v").alias("key"), "sid")
+    several = keyed.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("key")
+    met = materialize(keyed.join(several, "key"), "met")
+    release(sets.sparkSession)
+    members = met.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.expr("bit_xor(xxhash64(sid))").alias("x"), F.expr("bit_xor(xxhash64(sid, 1))").alias("y"))
+    one = members.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key", "c")
+    out = materialize(met.join(one, "key"), "buckets")
+    release(sets.sparkSession, met)
+    return out
 
 
 def set_links(docs: DataFrame, sets: DataFrame, config: MinHash) -> DataFrame:
-    """a, b: for each set but the least of its component, that least set."""
+    """a, b: for each set but the least of its component, that least set.
+
+    In each round every bucket names a further pivot, the member that meets most others, and every set is
+    compared with the ``tries`` foremost pivots of other components that it meets: a few comparisons a set,
+    however large its buckets. Buckets that lie in one component are closed. What is still open after the
+    rounds is compared in full, so rounds save work but decide nothing."""
     spark = docs.sparkSession
-    b = materialize(buckets(sets), "buckets")
+    b = buckets(sets)
     met = b.groupBy("sid").agg(F.sum("c").alias("met"))
-    b = materialize(b.join(met, "sid").select("key", "sid", "met"), "buckets")
+    sizes = sets.select("sid", "n")
+    open_ = materialize(b.join(met, "sid").join(sizes, "sid").select("key", "sid", "met", "n", F.col("sid").alias("comp"), F.lit(False).alias("was")), "open_buckets")
     packed = materialize(_packed_sets(docs, sets, met.select("sid")), "packed_sets")
-    links = spark.createDataFrame([], "a long, b long")
+    release(spark, b)
+    stars = spark.createDataFrame([], "a long, b long")
     tried = spark.createDataFrame([], "a long, b long")
-    stars = links
-    open_ = b.withColumn("comp", F.col("sid")).withColumn("was", F.lit(False))
+    fits = lambda x, y: 100 * F.least(x, y) >= config.percent * F.greatest(x, y)  # noqa: E731  sets of other sizes can't be similar
     for turn in range(config.pivot_rounds + 1):
+        last = open_
         if turn < config.pivot_rounds:
-            # the best member that wasn't the bucket's pivot yet; aggregated before the shuffle
-            pivot = open_.where("NOT was").groupBy("key").agg(F.max(F.struct("met", (-F.col("sid")).alias("minus"), F.col("comp").alias("pc"))).alias("p")).select("key", (-F.col("p.minus")).alias("pivot"), F.col("p.pc").alias("pc"))
-            open_ = materialize(open_.select("key", "sid", "met", "comp", "was").join(pivot, "key").withColumn("was", F.col("was") | (F.col("sid") == F.col("pivot"))), "open_buckets")
-            pairs = open_.where("comp <> pc").select(F.col("pivot").alias("a"), F.col("sid").alias("b"))
+            pivot = open_.where("NOT was").groupBy("key").agg(F.max(F.struct("met", (-F.col("sid")).alias("minus"), "comp", "n")).alias("p")).select("key", (-F.col("p.minus")).alias("pivot"), F.col("p.met").alias("pm"), F.col("p.comp").alias("pc"), F.col("p.n").alias("pn"))
+            open_ = materialize(open_.select("key", "sid", "met", "n", "comp", "was").join(pivot, "key", "left").withColumn("was", F.col("was") | (F.col("sid") == F.coalesce("pivot", F.lit(-1)))), "open_buckets")
+            pairs = open_.where((F.col("comp") != F.col("pc")) & fits(F.col("n"), F.col("pn"))).groupBy(F.col("pivot").alias("a"), F.col("sid").alias("b")).agg(F.max("pm").alias("pm"))
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            best = Window.partitionBy("b").orderBy(F.desc("pm"), "a")
+            pairs = pairs.withColumn("at", F.row_number().over(best)).where(F.col("at") <= config.tries).select("a", "b")
         else:
-            x, y = open_.select("key", F.col("sid").alias("a"), F.col("comp").alias("ca")), open_.select("key", F.col("sid").alias("b"), F.col("comp").alias("cb"))
-            pairs = x.join(y, "key").where("ca < cb").select("a", "b")
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct() if turn == config.pivot_rounds else pairs.distinct()
-        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            if turn == config.pivot_rounds:
-                break
-            continue
-        links = links.unionByName(materialize(confirmed(pairs, packed, config), "confirmed"))
-        tried = tried.unionByName(pairs)
-        stars = components(links)
-        named = open_.select("key", "sid", "met", "was").join(stars.select(F.col("a").alias("sid"), F.col("b").alias("c")), "sid", "left").select("key", "sid", "met", "was", F.coalesce("c", "sid").alias("comp"))
+            x, y = (open_.select("key", F.col("sid").alias(s), F.col("comp").alias(f"c{s}"), F.col("n").alias(f"n{s}")) for s in ("a", "b"))
+            pairs = x.join(y, (x["key"] == y["key"]) & (x["ca"] < y["cb"]) & fits(x["na"], y["nb"])).select("a", "b").distinct()
+            pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        if not pairs.isEmpty():
+            found = materialize(confirmed(pairs, packed, config), "confirmed")
+            tried = tried.unionByName(pairs)
+            stars = components(stars.unionByName(found))
+        named = open_.select("key", "sid", "met", "n", "was").join(stars.select(F.col("a").alias("sid"), F.col("b").alias("c_")), "sid", "left").select("key", "sid", "met", "n", "was", F.coalesce("c_", "sid").alias("comp"))
         mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        open_ = materialize(named.join(mixed, "key", "left_semi"), "open_buckets")
+        done, open_ = open_, materialize(named.join(mixed, "key", "left_semi"), "open_buckets")
+        release(spark, last, done) if turn < config.pivot_rounds else release(spark, done)
         if open_.isEmpty():
             break
     return stars
@@ -231,8 +248,8 @@ def set_links(docs: DataFrame, sets: DataFrame, config: MinHash) -> DataFrame:
 def near_duplicates(docs: DataFrame, config: MinHash = MinHash()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     rows = materialize(signatures(docs, config), "signatures")
-    one = rows.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("least_doc"), F.min(F.struct("u", "v")).alias("bands"))
-    sets = materialize(one.select(F.monotonically_increasing_id().alias("sid"), "h1", "h2", "least_doc", F.col("bands.u").alias("u"), F.col("bands.v").alias("v")), "sets")
+    one = rows.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("least_doc"), F.min("n").alias("n"), F.min(F.struct("u", "v")).alias("bands"))
+    sets = materialize(one.select(F.monotonically_increasing_id().alias("sid"), "h1", "h2", "least_doc", "n", F.col("bands.u").alias("u"), F.col("bands.v").alias("v")), "sets")
     stars = set_links(docs, sets, config)
     root = sets.select("sid", "h1", "h2", "least_doc").join(stars.select(F.col("a").alias("sid"), F.col("b").alias("c")), "sid", "left").withColumn("root", F.coalesce("c", "sid"))
     least = root.groupBy("root").agg(F.min("least_doc").alias("component_id"))
