@@ -127,37 +127,40 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Of all pairs, component by component: equal vectors get exactly equal values wherever they lie."""
-    dot, nq, nx = np.zeros((len(q), len(x))), np.zeros(len(q)), np.zeros(len(x))
-    for d in range(q.shape[1]):
-        a, b = q[:, d], x[:, d]
-        dot += a[:, None] * b
-        nq += a * a
-        nx += b * b
-    return dot / (np.sqrt(nq)[:, None] * np.sqrt(nx))
-
-
-def nearest(query_id: np.ndarray, q: np.ndarray, vec_id: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
-    """Each query's k best; a fast product picks what can be among them, the exact measure decides."""
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of pairs of rows, component by component: equal vectors get exactly equal values wherever they lie."""
+    dot, na, nb = (np.zeros(len(a)) for _ in range(3))
+    for d in range(a.shape[1]):
+        x, y = a[:, d], b[:, d]
+        dot += x * y
+        na += x * x
+        nb += y * y
+    return dot / (np.sqrt(na) * np.sqrt(nb))
+
+
+def nearest(query_id: np.ndarray, q: np.ndarray, vec_id: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query_id, vec_id and score of each query's k best; a fast product picks all that can be among them,
+    the exact measure decides."""
     fast = _unit(q) @ _unit(x).T
-    fast[query_id[:, None] == vec_id] = -np.inf
-    if len(x) > k:
-        least = np.partition(fast, len(x) - k, 1)[:, len(x) - k]
-    else:
-        least = np.full(len(q), -2.0)
-    for i in range(len(q)):
-        for floor in (max(least[i], -2.0) - 1e-9, -2.0):
-            at = np.flatnonzero(fast[i] >= floor)
-            s = cosines(q[i : i + 1], x[at])[0]
-            found: dict[int, float] = {}
-            for j in np.lexsort((vec_id[at], -s)):
-                found.setdefault(int(vec_id[at[j]]), float(s[j]))
-                if len(found) == k:
-                    break
-            if len(found) == k:
-                break  # else repeated ids took the places of others: look at all rows
-        yield from ((int(query_id[i]), v, c) for v, c in found.items())
+    own = query_id[:, None] == vec_id
+    fast[own] = -np.inf
+    at = len(x) - k
+    if at > 0 and len(np.unique(vec_id)) == len(vec_id):
+        least = np.partition(fast, at, 1)[:, at, None] - 1e-9
+    else:  # few rows, or repeated ids that could take the places of others
+        least = -2.0
+    i, j = np.nonzero((fast >= least) & ~own)
+    score = cosines(q[i], x[j])
+    order = np.lexsort((vec_id[j], -score, i))
+    i, v, score = i[order], vec_id[j[order]], score[order]
+    again = np.zeros(len(i), bool)
+    if np.ndim(least) == 0:  # of a repeated id the best score counts
+        _, first = np.unique(np.column_stack([i, v]), axis=0, return_index=True) if len(i) else (None, np.zeros(0, int))
+        again = ~np.isin(np.arange(len(i)), first)
+    i, v, score = i[~again], v[~again], score[~again]
+    rank = np.arange(len(i)) - np.searchsorted(i, i)
+    good = rank < k
+    return query_id[i[good]], v[good], score[good]
 
 
 def grow(valid: DataFrame, n: int, config: Forest) -> list[Tree]:
@@ -218,10 +221,9 @@ def search(vectors: DataFrame, is_query, k: int = 5, config: Forest = Forest())
     right = queries.select("vec_id", "v", F.explode("opened").alias("key")).join(F.broadcast(plan), "key").select("key", "vec_id", "v", of_query.alias("qb"), F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)).alias("rb"))
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
-        found = []
+        c = ([], [], [])
         if a.num_rows and b.num_rows:
-            found = list(nearest(b["vec_id"].to_numpy(), _matrix(b["v"]), a["vec_id"].to_numpy(), _matrix(a["v"]), k))
-        c = list(zip(*found, strict=True)) or [(), (), ()]
+            c = nearest(b["vec_id"].to_numpy(), _matrix(b["v"]), a["vec_id"].to_numpy(), _matrix(a["v"]), k)
         return pa.table({"query_id": pa.array(c[0], pa.int64()), "vec_id": pa.array(c[1], pa.int64()), "score": pa.array(c[2], pa.float64())})
 
     by = ["key", "rb", "qb"]
