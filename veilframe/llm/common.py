@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -41,9 +42,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where none is set, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='veilframe_ck_')}"
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='veilframe_ck_')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -67,6 +68,20 @@ def release(spark: SparkSession, *done: DataFrame) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def tables_made() -> list[tuple[SparkSession, str]]:
+    return list(_made)
+
+
+def sweep(spark: SparkSession, stale: list[tuple[SparkSession, str]], keep: DataFrame) -> None:
+    """Delete those of the stale tables that keep doesn't read."""
+    read = keep.inputFiles()[:1]
+    for found in stale:
+        if found in _made and not any(found[1].split("://")[-1] in f for f in read):
+            _made.remove(found)
+            _delete(*found)
+    release(spark)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

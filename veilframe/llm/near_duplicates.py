@@ -242,6 +242,7 @@ def set_links(docs: DataFrame, sets: DataFrame, config: MinHash) -> DataFrame:
         release(spark, last, done) if turn < config.pivot_rounds else release(spark, done)
         if open_.isEmpty():
             break
+    release(spark, packed, open_)
     return stars
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import materialize, release, ship
 
 #: Byte classes whose shares are features; fixed values.
 CLASSES = (
@@ -160,6 +160,7 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", config: Con
 
     seen = rows.where("calibrates").select("x", "y")
     binned = seen.mapInArrow(raw, "bin long, y double").groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).orderBy("bin").collect()
+    release(rows.sparkSession, rows)
     if not binned:  # too few rows for a calibration of their own
         model.at, model.value = np.array([0.0, 1.0]), np.array([0.0, 1.0])
         return model
@@ -185,7 +186,9 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", config:
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3, config: Config = Config()) -> DataFrame:
     """The rows of docs whose score is at least ``least``, all columns as they were."""
-    model = fit(materialize(document_statistics(docs), "quality_stats"), labels, "quality", config)
+    stats = materialize(document_statistics(docs), "quality_stats")
+    model = fit(stats, labels, "quality", config)
+    release(docs.sparkSession, stats)
     if model is None:
         return docs
     names, schema = docs.columns, docs.schema

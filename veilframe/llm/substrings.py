@@ -197,6 +197,7 @@ def repeated_spans(docs: DataFrame, window: int = 200) -> DataFrame:
     release(spark, found)
     parts = spans_of_groups(content.where("NOT hot"), window).unionByName(spans_of_hot(content.where("hot"), window))
     parts = materialize(parts, "part_spans")
+    release(spark, content, shown)
     return whole.unionByName(parts).groupBy("did", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
