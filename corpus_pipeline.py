@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from veilframe.llm import near_duplicates, packing, pii, quality, substrings
-from veilframe.llm.common import materialize, release, table
+from veilframe.llm.common import materialize, release, sweep, table, tables_made
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,24 @@ def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("quality", quality_classifier), ("minhash", minhash), ("suffix_array", suffix_array), ("pii", pseudonyms), ("packing", best_fit)]
+_stale: list = []
+
+
+def _tidy(stage):
+    """A stage's result is written before the next one starts, so tables that earlier stages needed can go."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        sweep(spark, _stale, docs)
+        _stale.clear()
+        before = set(tables_made())
+        out = stage(spark, docs, sf_dir)
+        _stale.extend(x for x in tables_made() if x not in before)
+        return out
+
+    return run_stage
+
+
+STAGES = [(name, _tidy(stage)) for name, stage in (("quality", quality_classifier), ("minhash", minhash), ("suffix_array", suffix_array), ("pii", pseudonyms), ("packing", best_fit))]
 
 #: No SQL expresses these stages; tests compare them with brute force.
 ORACLE_SQL = None
@@ -42,6 +59,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage_{name}")
-        release(spark)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage_{name}")
+        release(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
