@@ -103,9 +103,9 @@ def evidence_sql(d: Spark, relation: str, columns: list[str], settings: Settings
     rules = _rules(d)
     hits = ", ".join(f"sum(CASE WHEN {RULES[r.name](d, 'value')} THEN 1 ELSE 0 END) AS h_{r.name}" for r in rules)
     wide = f"SELECT column_name, count(*) AS total, {hits} FROM ({samples_sql(d, relation, columns, settings.sample_limit)}) s_ GROUP BY column_name"
-    named = " UNION ALL ".join(f"SELECT {d.text(c)} AS column_name" for c in columns)
     says = [(c, i, r) for c in columns for i, r in enumerate(rules)]
-    facts = " UNION ALL ".join(f"SELECT {d.text(c)} AS column_name, {i} AS rule_no, {d.text(r.name)} AS rule, {str(context_implies(r, c)).lower()} AS context_implied, {str(r.required).lower()} AS required" for c, i, r in says)
+    rows = ", ".join(f"({d.text(c)}, {i}, {d.text(r.name)}, {str(context_implies(r, c)).lower()}, {str(r.required).lower()})" for c, i, r in says)
+    facts = f"SELECT * FROM (VALUES {rows}) AS v_(column_name, rule_no, rule, context_implied, required)"
     hit = "CASE rule " + " ".join(f"WHEN '{r.name}' THEN h_{r.name}" for r in rules) + " END"
     strong = f"(total >= {settings.min_samples} AND CAST(hits AS double) / total >= CAST({settings.min_ratio} AS double))"
     eligible = "(format_strong AND (NOT required OR context_implied))"
