@@ -230,6 +230,17 @@ def test_disguised_words_are_restored():
     assert "moron" in toxicity.words_of("you m o r o n there", d) and toxicity.words_of("", d) == set()
 
 
+def test_one_sign_or_separator_is_decoded():
+    m = toxicity.count_trigrams(["you idiot moron shit " * 50]).reshape(28, 28, 28) + 0.01
+    d = toxicity.Decoder(np.log(m / m.sum(2, keepdims=True)))
+    for text, want in (("id!ot", "idiot"), ("a sh!t.", "shit"), ("mor-on", "moron"), ("mor.on", "moron"), ("you:id!ot", "idiot")):
+        assert want in toxicity.words_of(text, d), text
+    assert {"mor", "on"} <= toxicity.words_of("mor-on", d)
+    for word, want in (("1d10t", "idiot"), ("m.o.r.o.n", "moron"), ("sh!t", "shit")):
+        for k in range(40, 120, 7):
+            assert want in toxicity.words_of("x-" * (k // 2) + word + "-x" * 40, d), (word, k)
+
+
 def test_toxicity_odd_inputs(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r["score"] for r in toxicity.score(docs(spark, ODD), none).collect()] == [0.5] * len(ODD)

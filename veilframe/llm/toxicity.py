@@ -1,10 +1,11 @@
 """Toxicity: a noisy channel undoes disguised spelling, then the restored text is scored.
 
 1. A character trigram model is counted over all documents (each partition adds up one array).
-2. Tokens that look disguised (signs or digits among letters, a letter three times in a row, single
-   characters in a row) become a lattice: each character stands for itself, for the letters that it
+2. Tokens that look disguised (any sign or digit among letters, a letter three times in a row, single
+   characters in a row) and the parts of such tokens between separators become a lattice: each character stands for itself, for the letters that it
    may replace, for nothing (separators), and a run of one letter for one or two. Viterbi
-   decoding under the character model finds the likeliest spellings.
+   decoding under the character model finds the likeliest spellings. Tokens over ``PIECE`` characters
+   are decoded in overlapping pieces, and all shorter words in those count.
 3. Words of the restored text and their beginnings get log-odds weights from a bounded sample of
    ``sample`` labelled training rows. Weights of one half of it, applied to the other, fit the
    logistic curve over a document's strongest words, so the curve knows how far weights hold.
@@ -42,6 +43,8 @@ SEPARATORS = frozenset(".-_*~'`,:;/\\·•#%&=​­")
 PUNCTUATION = ".,;:!?\"'()[]{}*#%&$<>|/\\_-~`+=«»…“”„’‘"
 SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
 RUN = re.compile(r"(\w)\1\1", re.U)
+JOINT = re.compile(r"[\s.,;:?/\\_=&#~-]+")
+PIECE = 64  #: characters decoded at once; longer tokens come in pieces that overlap by half
 A = 28  #: letters a to z, 26 other letters, 27 a word's edge
 
 
@@ -150,6 +153,7 @@ def words_of(text: str, decoder: Decoder) -> set[str]:
     low = text.lower()
     out: set[str] = set()
     odd: list[str] = []
+    long: list[str] = []
     runs = RUN.search(low) is not None
     for t in set(low.split()):
         c = t if t.isalpha() else _core(t)
@@ -159,19 +163,24 @@ def words_of(text: str, decoder: Decoder) -> set[str]:
                 odd.append(c)
         elif c:
             out.update(x for x in re.split(r"[\W\d_]+", c) if x)
-            if len(c) <= 64 and any(map(str.isalpha, c)) and not re.fullmatch(r"[^\W\d_]+[.,;:!?'’/-][^\W\d_]+", c):
-                odd.append(c)
-            if t[-1] in "$!|+(" and len(t) <= 64 and len(t) - len(t.rstrip(PUNCTUATION)) == 1:
+            if any(map(str.isalpha, c)):
+                if len(c) <= PIECE:
+                    odd.append(c)
+                else:
+                    long.append(t)
+                odd += [x for x in JOINT.split(c) if len(x) <= PIECE and x != c and any(map(str.isalpha, x)) and (not x.isalpha() or RUN.search(x))]
+            if t[-1] in "$!|+(" and len(t) <= PIECE and len(t) - len(t.rstrip(PUNCTUATION)) == 1:
                 odd.append(t)  # the last sign may be a letter
     for t in odd:
         if sum(map(str.isdigit, t)) <= 0.6 * len(t):
             out.update(decoder.decode(t))
     for m in SPACED.finditer(low):
         run = m[0].replace(" ", "")
-        if len(set(run)) < 3:
-            continue
-        for at in range(0, len(run), 32):  # overlapping pieces of long runs
-            for w in decoder.decode(run[at : at + 64]):
+        if len(set(run)) >= 3:
+            long.append(run)
+    for run in long:
+        for at in range(0, len(run), PIECE // 2):  # overlapping pieces of long runs
+            for w in decoder.decode(run[at : at + PIECE]):
                 out.add(w)
                 out.update(w[i:j] for i in range(len(w)) for j in range(i + 4, min(len(w), i + 14) + 1))
     return out
