@@ -85,6 +85,20 @@ def test_layers_are_unwrapped_and_mapped(wrap):
     assert set(base) <= set(found)
 
 
+def test_every_occurrence_of_a_layer_has_its_span():
+    b, q = base64.b64encode(SECRET.encode()).decode(), urllib.parse.quote(SECRET, safe="")
+    e = "".join(f"\\u{ord(c):04x}" for c in SECRET)
+    for tokens in ((b, b), (q, q), (e, e), (b, q, e), (base64.b64encode(b.encode()).decode(), b)):
+        text = "a line " + " and ".join(tokens)
+        _, found, layers, _ = secrets.find(text)
+        at = 0
+        for t in tokens:
+            at = text.index(t, at)
+            assert any(k == "assign" and at <= i < j <= at + len(t) for k, i, j in found), (tokens, t)
+            at += len(t)
+        assert layers >= len(tokens)
+
+
 def slow_base(text):
     out = []
     for kind, p, ok in (("assign", r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", lambda m: len(m[2]) >= 8), ("access", "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16), ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 32)):

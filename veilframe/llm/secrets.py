@@ -3,7 +3,8 @@
 The whole text is scanned by the base patterns. Then a worklist unwraps layers: percent-encoded runs,
 \\uXXXX and \\xXX escapes, base64 (standard and URL-safe) and, inside base64, gzip, zlib or bzip2 data.
 Each decoded layer is scanned again and searched for further layers, until nothing new appears; a
-layer whose content was seen before isn't unwrapped again, which ends cycles. Each layer knows, for
+layer with the content and the origin of one seen before isn't unwrapped again, which ends cycles (equal
+content from elsewhere is: each occurrence has its own spans and counts as a layer). Each layer knows, for
 each of its characters, the span of the original text it stems from, so a find in a layer
 is reported as a span of the original text. Base finds always stay.
 
@@ -193,17 +194,22 @@ def _maybe_text(raw: bytes) -> bool:
 def find(text: str) -> tuple[list[Span], list[Span], int, int]:
     """Base finds; all finds; layers unwrapped; layers too large."""
     base = scan(text)
-    found, seen, layers, oversize = set(base), {text}, 0, 0
+    found, layers, oversize = set(base), 0, 0
+    seen: set[tuple] = set()
+    finds: dict[str, list[Span]] = {text: base}
     work = [Layer(text, [], [], [], linear=True)]
     while work:
         inner, big = unwrap(work.pop())
         oversize += big
         for x in inner:
-            if x.text in seen:
+            known = (x.text, *map(tuple, (x.starts, x.begin, x.end)))
+            if known in seen:
                 continue
-            seen.add(x.text)
+            seen.add(known)
             layers += 1
-            found.update((k, *x.span(i, j)) for k, i, j in scan(x.text))
+            if x.text not in finds:
+                finds[x.text] = scan(x.text)
+            found.update((k, *x.span(i, j)) for k, i, j in finds[x.text])
             work.append(x)
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     return sorted(base, key=order), sorted(found, key=order), layers, oversize
