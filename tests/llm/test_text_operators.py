@@ -151,6 +151,26 @@ def test_spelling_keeps_links_and_invalid_values_stay():
         assert pii.find(f"x {x} y") == []
 
 
+def test_pii_beside_other_groups():
+    card, iban = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    for value, text in (
+        (card, f"{card} 12/27"), (card, f"12 {card}"), (card, f"no. 1234 {card} x"), (card.replace(" ", ""), "4111111111111111 123"), (card.replace(" ", "-"), "12-4111-1111-1111-1111"),
+        (iban, f"{iban} PAID"), (iban, f"AB12 {iban} PAID"), ("2020-02-29", "at 2020-02-29T12:30:00Z"),
+    ):
+        found = pii.find(text)
+        assert value in [text[i:j] for i, j, _, _ in found], text
+        assert value not in pii.replace(text, found) and pii.restore(pii.replace(text, found)) == text
+    assert pii.find("id 2020-02-29Tuesday") == []
+    r = random.Random(8)
+    for _ in range(1500):
+        body = "4" + "".join(r.choices("0123456789", k=14))
+        d = body + str((10 - pii.luhn(body + "0")) % 10)
+        value = r.choice([d, " ".join(d[k : k + 4] for k in range(0, 16, 4))])
+        text = r.choice(["", "12 ", "123 ", "1234 "]) + value + r.choice(["", " 12", " 123", " 1234", " 12/27"])
+        new = pii.replace(text, pii.find(text))
+        assert value not in new and pii.restore(new) == text, text
+
+
 def test_pii_odd_inputs(spark):
     got = pii.pseudonymize(docs(spark, ODD + [(8, "mail ann@example.com")]))
     assert got.columns == docs(spark, []).columns and got.count() == len(ODD) + 1

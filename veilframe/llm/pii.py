@@ -19,6 +19,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from math import isqrt
@@ -189,8 +190,12 @@ _PATTERNS = {
     "ssn": re.compile(r"(?<![A-Za-z0-9_-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_-])"),
     "phone": re.compile(r"(?<![A-Za-z0-9_+])(?:\+[0-9](?:[ ().-]{0,2}[0-9]){7,14}|(?:1[ .-])?\([2-9][0-9]{2}\)[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4}|(?:1[ .-])?[2-9][0-9]{2}[ .-][2-9][0-9]{2}[ .-][0-9]{4})(?![A-Za-z0-9_])"),
     "ip": re.compile(r"(?<![A-Za-z0-9_.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![A-Za-z0-9_]|\.[0-9])"),
-    "date": re.compile(r"(?<![A-Za-z0-9_])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![A-Za-z0-9_])"),
+    "date": re.compile(r"(?<![A-Za-z0-9_])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?!(?![Tt][0-9]{2})[A-Za-z0-9_])"),
 }
+#: Groups among which a card or an IBAN may lie, with others before or behind it.
+_CARD_RUN = re.compile(r"[0-9]+(?:[ -][0-9]+)*")
+_IBAN_RUN = re.compile(r"(?<![A-Za-z0-9])[A-Z0-9]+(?: [A-Z0-9]+)*(?![A-Za-z0-9])")
+_GROUP = re.compile(r"[A-Z0-9]+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+")
 _DIGIT = re.compile(r"[0-9]")
@@ -206,23 +211,93 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", at + 1)
 
 
+def _card_windows(text: str, usual: bool) -> Iterator[tuple[int, int]]:
+    """Stretches of 13 to 19 digits from group to group; usual ones are solid or begin with four digits, then groups of 4 to 6, the last of 3 to 6."""
+    for m in _CARD_RUN.finditer(text):
+        if m.end() - m.start() < 13:
+            continue
+        groups = [(m.start() + g.start(), m.start() + g.end()) for g in _GROUP.finditer(m[0])]
+        if text[max(0, m.start() - 1) : m.start()] and (text[m.start() - 1].isascii() and text[m.start() - 1].isalnum() or text[m.start() - 1] in "_.-"):
+            while groups and (one := groups.pop(0)) and text[one[1] : one[1] + 1] == "-":
+                pass
+        if text[m.end() : m.end() + 1] and (text[m.end()].isascii() and text[m.end()].isalnum() or text[m.end()] in "_-"):
+            while groups and (one := groups.pop()) and text[one[0] - 1 : one[0]] == "-":
+                pass
+        for a in range(len(groups)):
+            digits = 0
+            for b in range(a, len(groups)):
+                digits += (size := groups[b][1] - groups[b][0])
+                if digits > 19 or b > a and text[groups[b][0] - 1] != text[groups[a][1]]:
+                    break
+                sizes = [j - i for i, j in groups[a : b + 1]]
+                shape = a == b or sizes[0] == 4 and all(4 <= x <= 6 for x in sizes[1:-1]) and 3 <= size <= 6
+                if digits >= 13 and (shape if usual else not shape and min(sizes) >= 3):
+                    yield groups[a][0], groups[b][1]
+
+
+def _iban_windows(text: str) -> Iterator[tuple[int, int]]:
+    for m in _IBAN_RUN.finditer(text):
+        if m.end() - m.start() < 15:
+            continue
+        groups = [(m.start() + g.start(), m.start() + g.end()) for g in _GROUP.finditer(m[0])]
+        for a, (i, _) in enumerate(groups):
+            for _, j in groups[a : a + 10]:
+                if j - i >= 15 and _PATTERNS["iban"].fullmatch(text, i, j):
+                    yield i, j
+
+
+def _overlaps(spans: list[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """Whether one of these spans overlaps i to j."""
+    starts, ends = zip(*sorted(spans), strict=True) if spans else ((), ())
+    return lambda i, j: (k := bisect_left(starts, j)) > 0 and ends[k - 1] > i
+
+
+def _claim(text: str, kind: str, windows: Iterator[tuple[int, int]], key: bytes, step: int, out: list[tuple[int, int, str, str]]) -> None:
+    """Add the valid windows that overlap nothing in out; leftmost first, of one start the longest."""
+    hit, end, tried = _overlaps([s[:2] for s in out]), 0, []
+    for i, j in sorted(windows, key=lambda w: (w[0], -w[1])):
+        if i < end or hit(i, j):
+            continue
+        if (new := pseudonym(kind, text[i:j], key, step)) is None:
+            tried.append((i, j))
+            continue
+        # A window that was tried before must stay invalid, or ``restore`` would find that one: walk on.
+        tried = [(a, b) for a, b in tried if b > i]
+        while any(pseudonym(kind, text[a:i] + new[max(0, a - i) : b - i] + text[j : max(j, b)], key, step) is not None for a, b in tried):
+            new = pseudonym(kind, new, key, step)
+        out.append((i, j, kind, new))
+        end = j
+
+
 @lru_cache(100_000)
 def pseudonym(kind: str, value: str, key: bytes, step: int = 1) -> str | None:
     return _FORMATS[kind](key, value, step)
 
 
 def find(text: str, key: bytes = DEMO_KEY, step: int = 1) -> list[tuple[int, int, str, str]]:
-    """start, end, kind, pseudonym; leftmost first, of one start the longest, none overlapping."""
+    """start, end, kind, pseudonym; leftmost first, none overlapping.
+
+    IBANs and cards in their usual groups come first, whatever digits or capitals stand beside them; then of
+    all kinds the leftmost, of one start the longest; then what other groups of digits hold a card.
+    """
     spans = [(i, j, "email") for i, j in _emails(text)] if "@" in text else []
     if _DIGIT.search(text):
         for kind, p in _PATTERNS.items():
             spans += [(m.start(), m.end(), kind) for m in p.finditer(text)]
-    out, end = [], 0
+    out: list[tuple[int, int, str, str]] = []
+    in_email = _overlaps([s[:2] for s in spans if s[2] == "email"])
+    free = lambda windows: (w for w in windows if not in_email(*w))
+    if _DIGIT.search(text):
+        _claim(text, "iban", free(_iban_windows(text)), key, step, out)
+        _claim(text, "card", free(_card_windows(text, True)), key, step, out)
+    hit, end = _overlaps([s[:2] for s in out]), 0
     for i, j, kind in sorted(spans, key=lambda s: (s[0], -s[1], KINDS.index(s[2]))):
-        if i >= end and (new := pseudonym(kind, text[i:j], key, step)) is not None:
+        if i >= end and not hit(i, j) and (new := pseudonym(kind, text[i:j], key, step)) is not None:
             out.append((i, j, kind, new))
             end = j
-    return out
+    if _DIGIT.search(text):
+        _claim(text, "card", free(_card_windows(text, False)), key, step, out)
+    return sorted(out)
 
 
 def replace(text: str, found: list[tuple[int, int, str, str]]) -> str:
