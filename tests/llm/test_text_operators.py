@@ -1,6 +1,7 @@
 """Operators that work document by document, against brute force, round trips and named cases."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import random
@@ -99,6 +100,20 @@ def test_every_occurrence_of_a_layer_has_its_span():
         assert layers >= len(tokens)
 
 
+def test_layers_that_are_not_text_are_scanned(monkeypatch):
+    s, noise = SECRET.encode(), bytes(range(128, 256))
+    packed = [gzip.compress(b"first") + gzip.compress(s), bz2.compress(b"first") + bz2.compress(s), gzip.compress(b"first") + b" " + s, gzip.compress(noise + b" " + s), noise + b" " + s + b" " + noise]
+    texts = [base64.b64encode(x).decode() for x in packed] + ["caf%E9&" + urllib.parse.quote(SECRET, safe=""), base64.b64encode(noise + b" " + base64.b64encode(s) + b" " + noise).decode()]
+    for t in texts:
+        assert any(k == "assign" for k, _, _ in secrets.find(f"see {t} .")[1]), t
+    assert secrets.find("internationalization and characteristically")[2] == 0
+    monkeypatch.setattr(secrets, "MAX_LAYER", 4096)
+    for make in (gzip.compress, bz2.compress, lambda x: gzip.compress(gzip.compress(x))):
+        for at in (0, 4000, 4090, 7900, 300_000):
+            _, found, _, big = secrets.find(base64.b64encode(make(b"- " * (at // 2) + s + b" -" * 200_000)).decode())
+            assert any(k == "assign" for k, _, _ in found) and big == 1, at
+
+
 def slow_base(text):
     out = []
     for kind, p, ok in (("assign", r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", lambda m: len(m[2]) >= 8), ("access", "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16), ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 32)):

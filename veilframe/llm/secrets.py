@@ -9,8 +9,10 @@ each of its characters, the span of the original text it stems from, so a find i
 is reported as a span of the original text. Base finds always stay.
 
 Defined results: null text counts as empty text; every whole text is scanned; repeated rows give
-repeated results; an empty table gives an empty table. A compressed layer that unfolds to more than
-``MAX_LAYER`` bytes isn't scanned but counted in ``n_oversize``, so that nothing is left out silently.
+repeated results; an empty table gives an empty table. Layers that aren't UTF-8 are read byte by byte;
+``n_layers`` counts those that are text or hold a find. Compressed data is unfolded with all its members
+and what follows them. If it is more than ``MAX_LAYER`` bytes, it is scanned in overlapping parts and
+counted in ``n_oversize``: only an encoded run longer than the overlap may be cut at a part's edge.
 """
 
 from __future__ import annotations
@@ -18,10 +20,12 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import hashlib
 import re
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
@@ -32,6 +36,7 @@ from .common import ship
 
 KINDS = ("assign", "access", "hex")
 MAX_LAYER = 64 << 20
+STEP = 1 << 16
 MIN_BASE64 = 16
 
 # The base patterns.
@@ -46,6 +51,7 @@ _ESCAPE = re.compile(r"\S+")
 _ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_BASE64)
 _ONE_PERCENT = re.compile(r"%([0-9A-Fa-f]{2})")
+_ENCODED = re.compile("|".join(f"(?:{p.pattern})" for p in (_ONE_PERCENT, _ONE_ESCAPE, _BASE64)))
 
 Span = tuple[str, int, int]
 
@@ -66,6 +72,7 @@ class Layer:
 
     def __init__(self, text: str, starts: list[int], begin: list[int], end: list[int], linear: bool = False):
         self.text, self.starts, self.begin, self.end, self.linear = text, starts, begin, end, linear
+        self.oversize = False
 
     def span(self, i: int, j: int) -> tuple[int, int]:
         """Of characters i to j (exclusive)."""
@@ -75,21 +82,20 @@ class Layer:
         return self.begin[a], self.end[b]
 
 
-def _utf8(pieces: list[tuple[bytes, int, int]], up: Layer) -> Layer | None:
-    """A layer from bytes and the spans of the layer above that they came from."""
-    raw = b"".join(p for p, _, _ in pieces)
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    if not text or not _readable(text):
+def _layer(pieces: list[tuple[bytes, int, int]], up: Layer) -> Layer | None:
+    """A layer from bytes and the spans of the layer above that they came from; what isn't UTF-8 is read byte by byte."""
+    if not (raw := b"".join(p for p, _, _ in pieces)):
         return None
+    text, wide = _text(raw)
+    if len(pieces) == 1:
+        b, e = up.span(*pieces[0][1:])
+        return Layer(text, [0], [b], [e])
     at_byte, starts, begin, end = 0, [], [], []
     owner: list[int] = []
     for k, (p, _, _) in enumerate(pieces):
         owner.extend([k] * len(p))
     for i, ch in enumerate(text):
-        size = len(ch.encode())
+        size = len(ch.encode()) if wide else 1
         a, b = pieces[owner[at_byte]], pieces[owner[at_byte + size - 1]]
         s = up.span(a[1], b[2])
         if not starts or (begin[-1], end[-1]) != s:
@@ -100,23 +106,90 @@ def _utf8(pieces: list[tuple[bytes, int, int]], up: Layer) -> Layer | None:
     return Layer(text, starts, begin, end)
 
 
+def _text(raw: bytes) -> tuple[str, bool]:
+    """Text, and whether it is UTF-8."""
+    try:
+        return raw.decode("utf-8"), True
+    except UnicodeDecodeError:
+        return raw.decode("latin-1"), False
+
+
 def _readable(text: str) -> bool:
     return sum(c.isprintable() or c in "\t\n\r" for c in text) >= 0.95 * len(text)
 
 
-def _unzip(raw: bytes) -> tuple[bytes | None, bool]:
-    """Unfolded bytes, and whether they were too many."""
-    for magic, make in ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"\x78", lambda: zlib.decompressobj(15)), (b"BZh", bz2.BZ2Decompressor)):
-        if raw.startswith(magic):
-            try:
+_MAGIC = {b"\x1f\x8b": lambda: zlib.decompressobj(31), b"\x78": lambda: zlib.decompressobj(15), b"BZh": bz2.BZ2Decompressor}
+
+
+def _members(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """Unfolded bytes of all members in a row; bytes that can't be unfolded come as they are."""
+    d = None
+    for data in chunks:
+        while data:
+            if d is None:
+                if (make := next((m for magic, m in _MAGIC.items() if data.startswith(magic)), None)) is None:
+                    yield data
+                    break
                 d = make()
-                out = d.decompress(raw, MAX_LAYER)
-                if not d.eof and len(out) >= MAX_LAYER:
-                    return None, True
-                return out, False
+            try:
+                out = d.decompress(data, STEP)
             except (zlib.error, OSError, EOFError, ValueError):
-                continue
-    return None, False
+                d = None
+                yield data
+                break
+            while True:
+                if out:
+                    yield out
+                if d.eof:
+                    data, d = d.unused_data, None
+                    break
+                data = getattr(d, "unconsumed_tail", b"")
+                if len(out) < STEP and not data:
+                    break
+                try:
+                    out = d.decompress(data, STEP)
+                except (zlib.error, OSError, EOFError, ValueError):
+                    d = None
+                    yield data
+                    data = b""
+                    break
+
+
+def _unfold(raw: bytes) -> tuple[Iterable[bytes], bool]:
+    """The innermost bytes of compressed data, and whether they are too many for one layer."""
+    seen: set[bytes] = set()
+    data = raw
+    while data.startswith(tuple(_MAGIC)) and data not in seen:  # compressed data inside compressed data
+        seen.add(data)
+        stream, got = _members([data]), bytearray()
+        for c in stream:
+            got += c
+            if len(got) > MAX_LAYER:
+                break
+        else:
+            data = bytes(got)
+            continue
+        head, heads, stream = bytes(got), set(), chain([bytes(got)], stream)
+        while head.startswith(tuple(_MAGIC)) and head not in heads:
+            heads.add(head)
+            stream = _members(stream)
+            head = next(stream, b"")
+            stream = chain([head], stream)
+        return stream, True
+    return [data], False
+
+
+def _parts(stream: Iterable[bytes]) -> Iterator[bytes]:
+    """The stream in parts of MAX_LAYER bytes that overlap by a sixteenth."""
+    held, fresh = bytearray(), False
+    for c in stream:
+        held += c
+        fresh = True
+        while len(held) > MAX_LAYER:
+            yield bytes(held[:MAX_LAYER])
+            del held[: MAX_LAYER - MAX_LAYER // 16]
+    if fresh:
+        yield bytes(held)
 
 
 def _decoded_base64(token: str) -> bytes | None:
@@ -129,9 +202,9 @@ def _decoded_base64(token: str) -> bytes | None:
         return None
 
 
-def unwrap(layer: Layer) -> tuple[list[Layer], int]:
-    """The layers directly inside, and how many were too large to unfold."""
-    text, out, oversize = layer.text, [], 0
+def unwrap(layer: Layer) -> Iterator[Layer]:
+    """The layers directly inside."""
+    text = layer.text
     if "%" in text:
         for m in _PERCENT.finditer(text):
             if not _ONE_PERCENT.search(m[0]):
@@ -144,8 +217,8 @@ def unwrap(layer: Layer) -> tuple[list[Layer], int]:
                 at = s + 3
             pieces += [(c.encode(), i, i + 1) for i, c in enumerate(text[at : m.end()], at)]
             assert b"".join(p for p, _, _ in pieces) == unquote_to_bytes(m[0])
-            if got := _utf8(pieces, layer):
-                out.append(got)
+            if got := _layer(pieces, layer):
+                yield got
     if "\\" in text:
         for m in _ESCAPE.finditer(text):
             if not _ONE_ESCAPE.search(m[0]):
@@ -161,56 +234,48 @@ def unwrap(layer: Layer) -> tuple[list[Layer], int]:
                 units.append((c, s, t))
                 at = t
             units += [(c, i, i + 1) for i, c in enumerate(text[at : m.end()], at)]
-            if got := _utf8([(c.encode("utf-8", "replace"), i, j) for c, i, j in units], layer):
-                out.append(got)
+            if got := _layer([(c.encode("utf-8", "replace"), i, j) for c, i, j in units], layer):
+                yield got
     for m in _BASE64.finditer(text):
         if (raw := _decoded_base64(m[0])) is None:
             continue
-        unfolded, big = _unzip(raw)
-        oversize += big
-        if unfolded is not None:
-            while True:  # compressed data inside compressed data
-                inner, big = _unzip(unfolded)
-                oversize += big
-                if inner is None or inner == unfolded:
-                    break
-                unfolded = inner
-            got = _utf8([(unfolded, m.start(), m.end())], layer) if unfolded else None
-        else:
-            s = m.start()
-            got = _utf8([(raw[i : i + 1], s + i * 8 // 6, s + (i * 8 + 7) // 6 + 1) for i in range(len(raw))], layer) if _maybe_text(raw) else None
-        if got:
-            out.append(got)
-    return out, oversize
-
-
-def _maybe_text(raw: bytes) -> bool:
-    try:
-        return _readable(raw.decode("utf-8"))
-    except UnicodeDecodeError:
-        return False
+        inner, big = _unfold(raw)
+        if not big and inner == [raw]:
+            t, _ = _text(raw)
+            if _readable(t) or scan(t) or _ENCODED.search(t):  # else there is nothing in it
+                s = m.start()
+                yield _layer([(raw[i : i + 1], s + i * 8 // 6, s + (i * 8 + 7) // 6 + 1) for i in range(len(raw))], layer)
+            continue
+        for part in _parts(inner):
+            if got := _layer([(part, m.start(), m.end())], layer):
+                got.oversize, big = big, False
+                yield got
 
 
 def find(text: str) -> tuple[list[Span], list[Span], int, int]:
-    """Base finds; all finds; layers unwrapped; layers too large."""
+    """Base finds; all finds; layers that are text or hold a find; layers too large for one piece."""
     base = scan(text)
     found, layers, oversize = set(base), 0, 0
     seen: set[tuple] = set()
     finds: dict[str, list[Span]] = {text: base}
-    work = [Layer(text, [], [], [], linear=True)]
+    work = [unwrap(Layer(text, [], [], [], linear=True))]
     while work:
-        inner, big = unwrap(work.pop())
-        oversize += big
-        for x in inner:
-            known = (x.text, *map(tuple, (x.starts, x.begin, x.end)))
-            if known in seen:
-                continue
-            seen.add(known)
-            layers += 1
-            if x.text not in finds:
-                finds[x.text] = scan(x.text)
-            found.update((k, *x.span(i, j)) for k, i, j in finds[x.text])
-            work.append(x)
+        if (x := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        oversize += x.oversize
+        short = len(x.text) <= STEP
+        known = (x.text if short else hashlib.blake2b(x.text.encode()).digest(), *map(tuple, (x.starts, x.begin, x.end)))
+        if known in seen:
+            continue
+        seen.add(known)
+        if (got := finds.get(x.text)) is None:
+            got = scan(x.text)
+            if short:
+                finds[x.text] = got
+        layers += bool(got) or _readable(x.text)
+        found.update((k, *x.span(i, j)) for k, i, j in got)
+        work.append(unwrap(x))
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     return sorted(base, key=order), sorted(found, key=order), layers, oversize
 
