@@ -241,6 +241,13 @@ def test_one_sign_or_separator_is_decoded():
             assert want in toxicity.words_of("x-" * (k // 2) + word + "-x" * 40, d), (word, k)
 
 
+def test_spacing_and_doubled_letters_are_undone():
+    m = toxicity.count_trigrams(["you ass stupid moron fat happy " * 50]).reshape(28, 28, 28) + 0.01
+    d = toxicity.Decoder(np.log(m / m.sum(2, keepdims=True)))
+    for text, want in (("a s s", "ass"), ("you f a t a s s", "fat"), ("m  o  r  o  n", "moron"), ("m\to\tr\to\tn", "moron"), ("m\u00a0o\u00a0r\u00a0o\u00a0n", "moron"), ("m\no\nr\no\nn", "moron"), ("stuupid", "stupid"), ("happy", "happy")):
+        assert want in toxicity.words_of(text, d), text
+
+
 def test_toxicity_odd_inputs(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r["score"] for r in toxicity.score(docs(spark, ODD), none).collect()] == [0.5] * len(ODD)

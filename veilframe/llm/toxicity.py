@@ -1,8 +1,8 @@
 """Toxicity: a noisy channel undoes disguised spelling, then the restored text is scored.
 
 1. A character trigram model is counted over all documents (each partition adds up one array).
-2. Tokens that look disguised (any sign or digit among letters, a letter three times in a row, single
-   characters in a row) and the parts of such tokens between separators become a lattice: each character stands for itself, for the letters that it
+2. Tokens that look disguised (any sign or digit among letters, a letter twice or more in a row, single
+   characters with any white space between) and the parts of such tokens between separators become a lattice: each character stands for itself, for the letters that it
    may replace, for nothing (separators), and a run of one letter for one or two. Viterbi
    decoding under the character model finds the likeliest spellings. Tokens over ``PIECE`` characters
    are decoded in overlapping pieces, and all shorter words in those count.
@@ -41,8 +41,8 @@ LEET = {
 }
 SEPARATORS = frozenset(".-_*~'`,:;/\\·•#%&=​­")
 PUNCTUATION = ".,;:!?\"'()[]{}*#%&$<>|/\\_-~`+=«»…“”„’‘"
-SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
-RUN = re.compile(r"(\w)\1\1", re.U)
+SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
+RUN = re.compile(r"(\w)\1", re.U)
 JOINT = re.compile(r"[\s.,;:?/\\_=&#~-]+")
 PIECE = 64  #: characters decoded at once; longer tokens come in pieces that overlap by half
 A = 28  #: letters a to z, 26 other letters, 27 a word's edge
@@ -109,10 +109,7 @@ class Decoder:
             while j < len(token) and token[j] == c:
                 j += 1
             if c.isalpha():
-                if j - i >= 3:
-                    out.append([(c, 0.0), (c + c, 0.0)])
-                else:
-                    out.append([(c * (j - i), 0.0)])
+                out.append([(c, 0.0), (c + c, 0.0)] if j - i >= 2 else [(c, 0.0)])
             else:
                 n = 1 if j - i >= 3 else j - i
                 for _ in range(n):
@@ -154,6 +151,7 @@ def words_of(text: str, decoder: Decoder) -> set[str]:
     out: set[str] = set()
     odd: list[str] = []
     long: list[str] = []
+    spaced: list[str] = []
     runs = RUN.search(low) is not None
     for t in set(low.split()):
         c = t if t.isalpha() else _core(t)
@@ -175,14 +173,12 @@ def words_of(text: str, decoder: Decoder) -> set[str]:
         if sum(map(str.isdigit, t)) <= 0.6 * len(t):
             out.update(decoder.decode(t))
     for m in SPACED.finditer(low):
-        run = m[0].replace(" ", "")
-        if len(set(run)) >= 3:
-            long.append(run)
-    for run in long:
+        spaced.append("".join(m[0].split()))
+    for run, least in [*((x, 4) for x in long), *((x, 3) for x in spaced)]:
         for at in range(0, len(run), PIECE // 2):  # overlapping pieces of long runs
             for w in decoder.decode(run[at : at + PIECE]):
                 out.add(w)
-                out.update(w[i:j] for i in range(len(w)) for j in range(i + 4, min(len(w), i + 14) + 1))
+                out.update(w[i:j] for i in range(len(w)) for j in range(i + least, (len(w) if least == 3 else min(len(w), i + 14)) + 1))
     return out
 
 
