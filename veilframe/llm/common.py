@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,37 +50,46 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Spark drops the shuffle files of a write as soon as it has ended; nothing else reads them.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder as Parquet and read it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}_{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffles_dropped(spark):
+        df.write.option("compression", "zstd").parquet(path)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._veilframe_path = path
+    return out
 
 
 def release(spark: SparkSession, *done: DataFrame) -> None:
-    """Delete materialized tables that nothing reads any more, and let Spark drop shuffle files of past jobs."""
-    for df in done:
-        for found in [x for x in _made if any(x[1].split("://")[-1] in f for f in df.inputFiles()[:1])]:
-            _made.remove(found)
-            _delete(*found)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def tables_made() -> list[tuple[SparkSession, str]]:
-    return list(_made)
-
-
-def sweep(spark: SparkSession, stale: list[tuple[SparkSession, str]], keep: DataFrame) -> None:
-    """Delete those of the stale tables that keep doesn't read."""
-    read = keep.inputFiles()[:1]
-    for found in stale:
-        if found in _made and not any(found[1].split("://")[-1] in f for f in read):
-            _made.remove(found)
-            _delete(*found)
-    release(spark)
+    """Delete materialized tables that nothing reads any more; other tables stay as they are."""
+    paths = {getattr(df, "_veilframe_path", None) for df in done}
+    for found in [x for x in _made if x[1] in paths]:
+        _made.remove(found)
+        _delete(*found)
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, in any case of letters."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -4,21 +4,26 @@
    128-bit fingerprint, and 2 * ``side`` short bands: ``side`` in a first and ``side`` in a second
    collection, of ``rows`` minhashes each. Documents with equal sets are one class from here on.
 2. The table keys are all pairs of a band of the first and one of the second collection: side^2 tables
-   from 2 * side * rows minhashes, about the square root of what side^2 own bands would take.
-3. Buckets with the same members are one. In each, the member that meets most others is the pivot, and
-   the others are compared with the foremost pivots they meet; links are confirmed on the full sets.
-   Buckets whose members then lie in one component are done; the others get further pivots, and after
-   ``pivot_rounds`` rounds all remaining pairs across components are compared. No bucket is capped, no
-   link between candidates is left unchecked, and n near copies cost a few n comparisons, not n^2.
-4. Components of the confirmed links give each document the smallest doc_id it is linked with.
+   from 2 * side * rows minhashes, about the square root of what side^2 own bands would take. A band that
+   no other set has can't be part of a shared key, so only bands that several sets have are combined.
+3. In each bucket the member whose bands most sets share is the pivot; the others are compared with it
+   on the full sets. Buckets whose members then lie in one component are done.
+4. Members of the other buckets ("open" sets) are compared exactly, across components, by prefixes: their
+   shingles are ordered from rare to common, and two sets similar enough share a shingle among the first
+   few of each, at places that leave room for the overlap they need. Shingles of one component only can't
+   link two, so they come first and are never joined. No bucket is capped and no link between open sets
+   is missed; n near copies cost n comparisons with pivots, and sets that only look alike cost none.
+5. Components of the confirmed links give each document the smallest doc_id it is linked with.
 
 Two sets of similarity s share a table with probability (1 - (1 - s^rows)^side)^2: at s = 0.8, the
 default misses 4 in 10,000 single links, at 0.85 fewer than 1 in 10,000.
 
 Defined results: texts that are null or without words have an empty set and are linked with nothing
 (component_id is their own doc_id); with fewer words than a shingle has, the whole sequence is the one
-shingle; repeated rows get equal results; a null doc_id is never a component's smallest; empty tables
-give empty tables; other columns are ignored.
+shingle; repeated rows get equal results, so that all or none of them are kept; rows of one doc_id with
+different texts are different documents; a null doc_id is never a component's smallest: such a row is kept
+only if nothing it is linked with has a doc_id; empty tables give empty tables; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -30,10 +35,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, parts, release, ship
+from .common import fresh, materialize, parts, release, ship
 from .components import components
 
 #: Ids that may be broadcast (8 bytes each); beyond, joins shuffle.
@@ -47,8 +52,6 @@ class MinHash:
     percent: int = 80  #: least similarity of linked sets
     side: int = 12  #: bands in each collection
     rows: int = 3  #: minhashes in a band
-    pivot_rounds: int = 5
-    tries: int = 3  #: pivots that a set is compared with in a round
     seed: int = 3
 
 
@@ -117,33 +120,36 @@ class Bands:
         return out.view(np.int64)
 
 
+def fingerprint(x: np.ndarray) -> tuple[int, int]:
+    h = np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), np.int64)
+    return int(h[0]), int(h[1])
+
+
+def _keyed(docs: DataFrame) -> list[Column]:
+    """doc_id, and th, which tells texts of one doc_id apart."""
+    return [docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"].cast("string")).alias("th")]
+
+
 def signatures(docs: DataFrame, config: MinHash) -> DataFrame:
-    """doc_id, n (set size), h1, h2 (fingerprint of the set), u, v (bands; null for empty sets)."""
+    """doc_id, th, n (set size), h1, h2 (fingerprint of the set), u, v (bands; null for empty sets)."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(config)
         for b in batches:
-            n, h, u, v = [], [], [], []
-            for t in b.column(1).to_pylist():
+            n, h1, h2, u, v = [], [], [], [], []
+            for t in b.column(2).to_pylist():
                 x = shingle_set(t or "", config.words)
+                y = bands.of(x) if len(x) else None
                 n.append(len(x))
-                if len(x):
-                    h.append(np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), np.int64))
-                    y = bands.of(x)
-                    u.append(y[: config.side])
-                    v.append(y[config.side :])
-                else:
-                    h.append((None, None))
-                    u.append(None)
-                    v.append(None)
+                for out, value in zip((h1, h2), fingerprint(x) if len(x) else (None, None), strict=True):
+                    out.append(value)
+                u.append(None if y is None else y[: config.side])
+                v.append(None if y is None else y[config.side :])
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), *(pa.array([None if p[i] is None else int(p[i]) for p in h], pa.int64()) for i in (0, 1)), pa.array(u, longs), pa.array(v, longs)],
-                ["doc_id", "n", "h1", "h2", "u", "v"],
-            )
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in (n, h1, h2)), pa.array(u, longs), pa.array(v, longs)], ["doc_id", "th", "n", "h1", "h2", "u", "v"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, h1 long, h2 long, u array<long>, v array<long>")
+    return docs.select(*_keyed(docs), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, th long, n long, h1 long, h2 long, u array<long>, v array<long>")
 
 
 def _by_size(df: DataFrame, n: int) -> DataFrame:
@@ -151,19 +157,29 @@ def _by_size(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_IDS else df
 
 
-def _packed_sets(docs: DataFrame, sets: DataFrame, involved: DataFrame) -> DataFrame:
-    """sid and the compressed text of one document of each involved set."""
-    wanted = sets.join(involved, "sid").select("sid", F.col("least_doc").alias("doc_id"), F.col("h1").alias("wanted_h1"))
-    n = wanted.count()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(_by_size(wanted, n), "doc_id")
+def _packed_sets(docs: DataFrame, sets: DataFrame, involved: DataFrame, config: MinHash) -> DataFrame:
+    """sid and the compressed text of one document of each involved set, found by doc_id and text hash."""
+    wanted = materialize(sets.join(involved, "sid", "left_semi").select("sid", F.col("one.doc_id").alias("wanted_id"), F.col("one.th").alias("wanted_th"), "h1", "h2"), "wanted")
+    rows = docs.select(*_keyed(docs), docs["text"].cast("string").alias("text"))
+    found = rows.join(_by_size(wanted, wanted.count()), F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.col("th") == F.col("wanted_th")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()], pa.binary())], ["sid", "z"])
+            sid, packed = [], []
+            for s, h1, h2, t in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if fingerprint(shingle_set(t or "", config.words)) == (h1, h2):
+                    sid.append(s)
+                    packed.append(z.compress((t or "").encode("utf-8", "surrogatepass")))
+            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(packed, pa.binary())], ["sid", "z"])
+
+    out = materialize(found.select("sid", "h1", "h2", "text").mapInArrow(run, "sid long, z binary").groupBy("sid").agg(F.min("z").alias("z")), "packed_sets")  # repeated rows
+    release(docs.sparkSession, wanted)
+    return out
+
 
-    packed = rows.select("sid", "text").mapInArrow(run, "sid long, z binary")
-    return packed.groupBy("sid").agg(F.min("z").alias("z"))  # repeated rows
+def _unpacked(z: zstandard.ZstdDecompressor, packed: bytes, words: int) -> np.ndarray:
+    return shingle_set(z.decompress(packed).decode("utf-8", "surrogatepass"), words)
 
 
 def confirmed(pairs: DataFrame, packed: DataFrame, config: MinHash) -> DataFrame:
@@ -176,8 +192,8 @@ def confirmed(pairs: DataFrame, packed: DataFrame, config: MinHash) -> DataFrame
             good = []
             for a, za, zb in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if last[0] != a:
-                    last = (a, shingle_set(z.decompress(za).decode("utf-8", "surrogatepass"), config.words))
-                good.append(similar(last[1], shingle_set(z.decompress(zb).decode("utf-8", "surrogatepass"), config.words), config.percent))
+                    last = (a, _unpacked(z, za, config.words))
+                good.append(similar(last[1], _unpacked(z, zb, config.words), config.percent))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     both = pairs.join(packed.select(F.col("sid").alias("b"), F.col("z").alias("zb")), "b").join(packed.select(F.col("sid").alias("a"), F.col("z").alias("za")), "a")
@@ -185,82 +201,113 @@ def confirmed(pairs: DataFrame, packed: DataFrame, config: MinHash) -> DataFrame
 
 
 def buckets(sets: DataFrame) -> DataFrame:
-    """key, sid, c of the tables' buckets with several members; of buckets with the same members, one.
+    """key, sid, n, pivot, pn: members of the tables' buckets with several members, and their pivots.
 
-    Counting combines before the shuffle, and the join back may split a large key, so a bucket that
+    Counting combines before the shuffle, and the joins back may split a large key, so a bucket that
     holds a third of all sets is no single task's work."""
-    spread = sets.select("sid", "u", "v").repartition(4 * parts(sets.sparkSession), "sid")
-    keyed = spread.select("sid", F.explode("u").alias("u"), "v").select("sid", "u", F.explode("v").alias("v")).select(F.xxhash64("u", "v").alias("key"), "sid")
-    several = keyed.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("key")
-    met = materialize(keyed.join(several, "key"), "met")
-    release(sets.sparkSession)
-    members = met.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.expr("bit_xor(xxhash64(sid))").alias("x"), F.expr("bit_xor(xxhash64(sid, 1))").alias("y"))
-    one = members.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key", "c")
-    out = materialize(met.join(one, "key"), "buckets")
-    release(sets.sparkSession, met)
+    bands = sets.select("sid", "n", F.explode(F.concat(F.transform("u", lambda x: F.struct(F.lit(True).alias("first"), x.alias("band"))), F.transform("v", lambda x: F.struct(F.lit(False).alias("first"), x.alias("band"))))).alias("x")).select("sid", "n", "x.first", "x.band")
+    shared = bands.groupBy("first", "band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    side = lambda first: F.collect_list(F.when(F.col("first") == first, F.col("band")))  # noqa: E731  at most config.side
+    own = bands.join(shared, ["first", "band"]).groupBy("sid", "n").agg(side(True).alias("u"), side(False).alias("v"), F.sum("c").alias("met"))
+    own = materialize(own.where("size(u) > 0 AND size(v) > 0"), "shared_bands")
+    keyed = own.repartition(4 * parts(sets.sparkSession), "sid").select("sid", "n", "met", "v", F.explode("u").alias("u")).select("sid", "n", "met", "u", F.explode("v").alias("v")).select(F.xxhash64("u", "v").alias("key"), "sid", "n", "met")
+    least = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("met", (-F.col("sid")).alias("minus"), "n")).alias("p")).where("c > 1")
+    met = keyed.join(least.select("key", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("pn")), "key")
+    out = materialize(met.select("key", "sid", "n", "pivot", "pn"), "buckets")
+    release(sets.sparkSession, own)
     return out
 
 
-def set_links(docs: DataFrame, sets: DataFrame, config: MinHash) -> DataFrame:
-    """a, b: for each set but the least of its component, that least set.
+def open_sets(met: DataFrame, stars: DataFrame) -> DataFrame:
+    """sid, comp: the sets of buckets that lie in several components."""
+    named = met.select("key", "sid").join(stars.select(F.col("a").alias("sid"), F.col("b").alias("c")), "sid", "left").select("key", "sid", F.coalesce("c", "sid").alias("comp"))
+    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    return named.join(mixed, "key", "left_semi").select("sid", "comp").distinct()
 
-    In each round every bucket names a further pivot, the member that meets most others, and every set is
-    compared with the ``tries`` foremost pivots of other components that it meets: a few comparisons a set,
-    however large its buckets. Buckets that lie in one component are closed. What is still open after the
-    rounds is compared in full, so rounds save work but decide nothing."""
+
+def prefixes(opened: DataFrame, packed: DataFrame, config: MinHash) -> DataFrame:
+    """sid, comp, n, token, i: the shingles that can be the first one of two similar sets of different
+    components, and their place (from 0) in the set's order from rare to common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdDecompressor()
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                s = b.slice(at, 256)
+                x = [_unpacked(z, y, config.words) for y in s.column(2).to_pylist()]
+                n = np.fromiter(map(len, x), np.int64, len(x))
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(s.column(i).to_numpy(), n)) for i in (0, 1)), pa.array(np.repeat(n, n)), pa.array(np.concatenate(x).view(np.int64))], ["sid", "comp", "n", "token"])
+
+    rows = materialize(opened.join(packed, "sid").select("sid", "comp", "z").mapInArrow(run, "sid long, comp long, n long, token long"), "open_shingles")
+    several = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token", "c")
+    least = lambda of: F.ceil(F.lit(config.percent) * F.col(of) / F.lit(100))
+    lists = rows.join(several, "token").groupBy("sid", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("x"))  # one set's shingles
+    places = lists.select("sid", "comp", "n", (F.col("n") - F.size("x")).alias("rare"), F.expr("transform(x, (y, i) -> struct(i, y.token AS token))").alias("x"))
+    cut = places.withColumn("x", F.slice("x", F.lit(1), F.greatest(F.col("n") - least("n") + 1 - F.col("rare"), F.lit(0)).cast("int")))
+    out = materialize(cut.select("sid", "comp", "n", "rare", F.explode("x").alias("y")).select("sid", "comp", "n", F.col("y.token").alias("token"), (F.col("rare") + F.col("y.i")).alias("i")), "prefixes")
+    release(opened.sparkSession, rows)
+    return out
+
+
+def prefix_pairs(rows: DataFrame, config: MinHash) -> DataFrame:
+    """a, b: sets of different components that may be similar. Of a pair, the smaller set needs its shared
+    shingle earlier than the larger, which spares pairs that share only common shingles."""
+    p = config.percent
+    x = rows.where(f"(100 + {p}) * (n - i) >= 2 * {p} * n").select("token", F.col("sid").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("i").alias("ia"))
+    y = rows.select("token", F.col("sid").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("i").alias("ib"))
+    fits = f"ca <> cb AND (na < nb OR na = nb AND a < b) AND 100 * na >= {p} * nb AND (100 + {p}) * least(na - ia, nb - ib) >= {p} * (na + nb)"
+    return x.join(y, (x["token"] == y["token"]) & F.expr(fits)).select("a", "b").distinct()
+
+
+def set_links(docs: DataFrame, sets: DataFrame, config: MinHash) -> DataFrame:
+    """a, b: for each set but the least of its component, that least set."""
     spark = docs.sparkSession
-    b = buckets(sets)
-    met = b.groupBy("sid").agg(F.sum("c").alias("met"))
-    sizes = sets.select("sid", "n")
-    open_ = materialize(b.join(met, "sid").join(sizes, "sid").select("key", "sid", "met", "n", F.col("sid").alias("comp"), F.lit(False).alias("was")), "open_buckets")
-    packed = materialize(_packed_sets(docs, sets, met.select("sid")), "packed_sets")
-    release(spark, b)
-    stars = spark.createDataFrame([], "a long, b long")
-    tried = spark.createDataFrame([], "a long, b long")
-    fits = lambda x, y: 100 * F.least(x, y) >= config.percent * F.greatest(x, y)  # noqa: E731  sets of other sizes can't be similar
-    for turn in range(config.pivot_rounds + 1):
-        last = open_
-        if turn < config.pivot_rounds:
-            pivot = open_.where("NOT was").groupBy("key").agg(F.max(F.struct("met", (-F.col("sid")).alias("minus"), "comp", "n")).alias("p")).select("key", (-F.col("p.minus")).alias("pivot"), F.col("p.met").alias("pm"), F.col("p.comp").alias("pc"), F.col("p.n").alias("pn"))
-            open_ = materialize(open_.select("key", "sid", "met", "n", "comp", "was").join(pivot, "key", "left").withColumn("was", F.col("was") | (F.col("sid") == F.coalesce("pivot", F.lit(-1)))), "open_buckets")
-            pairs = open_.where((F.col("comp") != F.col("pc")) & fits(F.col("n"), F.col("pn"))).groupBy(F.col("pivot").alias("a"), F.col("sid").alias("b")).agg(F.max("pm").alias("pm"))
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            best = Window.partitionBy("b").orderBy(F.desc("pm"), "a")
-            pairs = pairs.withColumn("at", F.row_number().over(best)).where(F.col("at") <= config.tries).select("a", "b")
-        else:
-            x, y = (open_.select("key", F.col("sid").alias(s), F.col("comp").alias(f"c{s}"), F.col("n").alias(f"n{s}")) for s in ("a", "b"))
-            pairs = x.join(y, (x["key"] == y["key"]) & (x["ca"] < y["cb"]) & fits(x["na"], y["nb"])).select("a", "b").distinct()
-            pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if not pairs.isEmpty():
-            found = materialize(confirmed(pairs, packed, config), "confirmed")
-            tried = tried.unionByName(pairs)
-            stars = components(stars.unionByName(found))
-        named = open_.select("key", "sid", "met", "n", "was").join(stars.select(F.col("a").alias("sid"), F.col("b").alias("c_")), "sid", "left").select("key", "sid", "met", "n", "was", F.coalesce("c_", "sid").alias("comp"))
-        mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        done, open_ = open_, materialize(named.join(mixed, "key", "left_semi"), "open_buckets")
-        release(spark, last, done) if turn < config.pivot_rounds else release(spark, done)
-        if open_.isEmpty():
-            break
-    release(spark, packed, open_)
+    met = buckets(sets)
+    packed = _packed_sets(docs, sets, met.select("sid").distinct(), config)
+    near = met.where((F.col("sid") != F.col("pivot")) & (100 * F.least("n", "pn") >= config.percent * F.greatest("n", "pn")))
+    found = materialize(confirmed(near.select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct(), packed, config), "confirmed")
+    stars = components(found)
+    opened = materialize(open_sets(met, stars), "open_sets")
+    release(spark, met, found)
+    if not opened.isEmpty():
+        rows = prefixes(opened, packed, config)
+        found = materialize(confirmed(prefix_pairs(rows, config), packed, config), "confirmed")
+        release(spark, rows)
+        if not found.isEmpty():
+            before, stars = stars, components(stars.unionByName(found))
+            release(spark, before)
+        release(spark, found)
+    release(spark, packed, opened)
     return stars
 
 
-def near_duplicates(docs: DataFrame, config: MinHash = MinHash()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept."""
+def labelled(docs: DataFrame, config: MinHash) -> tuple[DataFrame, list[DataFrame]]:
+    """doc_id, th, n, component_id, kept: a row for each row of docs; and the tables that this reads."""
+    spark = docs.sparkSession
     rows = materialize(signatures(docs, config), "signatures")
-    one = rows.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("least_doc"), F.min("n").alias("n"), F.min(F.struct("u", "v")).alias("bands"))
-    sets = materialize(one.select(F.monotonically_increasing_id().alias("sid"), "h1", "h2", "least_doc", "n", F.col("bands.u").alias("u"), F.col("bands.v").alias("v")), "sets")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    one = rows.where("n > 0").groupBy("h1", "h2").agg(F.min("n").alias("n"), F.min(F.struct(first.alias("one"), "u", "v")).alias("m"))
+    sets = materialize(one.select(F.monotonically_increasing_id().alias("sid"), "h1", "h2", "n", "m.one", "m.u", "m.v"), "sets")
     stars = set_links(docs, sets, config)
-    root = sets.select("sid", "h1", "h2", "least_doc").join(stars.select(F.col("a").alias("sid"), F.col("b").alias("c")), "sid", "left").withColumn("root", F.coalesce("c", "sid"))
-    least = root.groupBy("root").agg(F.min("least_doc").alias("component_id"))
-    named = root.select("h1", "h2", "root").join(least, "root").select("h1", "h2", "component_id")
-    out = rows.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
+    root = sets.select("sid", "h1", "h2", F.col("one.doc_id").alias("doc")).join(stars.select(F.col("a").alias("sid"), F.col("b").alias("c")), "sid", "left").withColumn("root", F.coalesce("c", "sid"))
+    least = root.groupBy("root").agg(F.min("doc").alias("component_id"))
+    named = materialize(root.select("h1", "h2", "root").join(least, "root").select("h1", "h2", "component_id"), "classes")
+    release(spark, sets, stars)
+    out = rows.select("doc_id", "th", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    return out.select("doc_id", "th", "n", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept")), [rows, named]
+
+
+def near_duplicates(docs: DataFrame, config: MinHash = MinHash()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept."""
+    return labelled(docs, config)[0].select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
 def keep_one(docs: DataFrame, config: MinHash = MinHash()) -> DataFrame:
-    """docs with one document of each group, all columns as they were."""
-    gone = materialize(near_duplicates(docs, config).where("NOT kept").select(F.col("doc_id").alias("gone_id")), "near_copies")
-    return docs.join(_by_size(gone, gone.count()), docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
+    """docs with one document of each group (see above for null and repeated ids), all columns as they were."""
+    doc_id, th = fresh("gone_id", docs), fresh("gone_th", docs)
+    rows, read = labelled(docs, config)
+    gone = materialize(rows.where("NOT kept").select(F.col("doc_id").alias(doc_id), F.col("th").alias(th)).distinct(), "near_copies")
+    release(docs.sparkSession, *read)
+    at, hashed = _keyed(docs)
+    return docs.join(_by_size(gone, gone.count()), at.eqNullSafe(F.col(doc_id)) & (hashed == F.col(th)), "left_anti")

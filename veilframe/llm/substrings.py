@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, ship
+from .common import fresh, materialize, release, ship
 
 ANCHOR = 32
 DIGITS = 4
@@ -257,7 +257,6 @@ def _union(spans: list[dict]) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, window: int = 200) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
     spans = materialize(repeated_spans(docs, window), "spans")
-    release(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -292,14 +291,14 @@ def cleaned(docs: DataFrame, window: int = 200) -> DataFrame:
     """docs without the repeated bytes of their column text; a character of which a byte went goes whole,
     n_chars (if there) follows, the other columns stay as they were. Null texts stay null."""
     spans = materialize(repeated_spans(docs, window), "spans")
-    release(docs.sparkSession)
     if spans.isEmpty():
         return docs
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     did, th = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))), F.hash(text)
-    key = spans.select(F.col("did").alias("_did"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
-    ids = F.broadcast(key.select("_did", "_th")) if spans.count() <= BROADCAST_DOCS else key.select("_did", "_th")
-    on = [did == F.col("_did"), th == F.col("_th")]
+    k_did, k_th, k_spans = (fresh(x, docs) for x in ("span_did", "span_th", "span_list"))
+    key = spans.select(F.col("did").alias(k_did), F.col("th").alias(k_th), F.col("spans").alias(k_spans))
+    ids = F.broadcast(key.select(k_did, k_th)) if spans.count() <= BROADCAST_DOCS else key.select(k_did, k_th)
+    on = [did == F.col(k_did), th == F.col(k_th)]
     names, schema = docs.columns, docs.schema
     at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
@@ -315,5 +314,5 @@ def cleaned(docs: DataFrame, window: int = 200) -> DataFrame:
                 out = out.set_column(size, b.schema.field(size), pa.array(map(len, new), b.schema.field(size).type))
             yield out
 
-    touched = docs.join(ids, on, "left_semi").join(key, on).select(*[docs[c] for c in names], "_spans").mapInArrow(run, schema)
+    touched = docs.join(ids, on, "left_semi").join(key, on).select(*[docs[c] for c in names], k_spans).mapInArrow(run, schema)
     return touched.unionByName(docs.join(ids, on, "left_anti"))
