@@ -290,9 +290,9 @@ def labelled(docs: DataFrame, config: MinHash) -> tuple[DataFrame, list[DataFram
     sets = materialize(one.select(F.monotonically_increasing_id().alias("sid"), "h1", "h2", "n", "m.one", "m.u", "m.v"), "sets")
     stars = set_links(docs, sets, config)
     root = sets.select("sid", "h1", "h2", F.col("one.doc_id").alias("doc")).join(stars.select(F.col("a").alias("sid"), F.col("b").alias("c")), "sid", "left").withColumn("root", F.coalesce("c", "sid"))
-    least = root.groupBy("root").agg(F.min("doc").alias("component_id"))
+    least = materialize(root.groupBy("root").agg(F.min("doc").alias("component_id")), "least_ids")  # read back, so that a join may split a large component
     named = materialize(root.select("h1", "h2", "root").join(least, "root").select("h1", "h2", "component_id"), "classes")
-    release(spark, sets, stars)
+    release(spark, sets, stars, least)
     out = rows.select("doc_id", "th", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "th", "n", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept")), [rows, named]
