@@ -25,9 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that a Python worker gets at a time, unless the session says another number: texts may be long.
+ROWS_IN_BATCH = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package on every executor, once per application."""
+    """Let Python workers import this package on every executor, once per application, and bound what they hold."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(ROWS_IN_BATCH))
     if getattr(sc, "_veilframe_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]

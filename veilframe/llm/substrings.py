@@ -145,8 +145,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _all_blocks(docs: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                s = b.slice(at, 512)
+            for at in range(0, b.num_rows, 128):
+                s = b.slice(at, 128)
                 got = [blocks(r, window) for r in s.column(2).to_pylist()]
                 sizes = [len(g[0]) for g in got]
                 cols = [np.concatenate([g[i] for g in got]) for i in range(5)]
@@ -217,7 +217,7 @@ def spans_of_groups(content: DataFrame, window: int) -> DataFrame:
         windows = 0
         for b in batches:
             for row in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
-                if windows > 500_000 and row[2] != held[-1][2]:
+                if windows > 100_000 and row[2] != held[-1][2]:
                     yield flush(held)
                     held, windows = [], 0
                 held.append(row)
