@@ -170,15 +170,16 @@ def repeated_spans(docs: DataFrame, window: int = 200) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     every = materialize(_all_blocks(docs, window), "blocks")
-    common = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("block").alias("lo"), F.max("block").alias("hi")).where("c > 1").select("anchor", (F.col("lo") < F.col("hi")).alias("several"))
-    found = materialize(every.join(common, "anchor"), "repeated_blocks")
-    release(spark, every)
-    # of anchors with several blocks: how often each occurs, and one occurrence that can show its content
-    shown = found.where("several").groupBy("anchor", "block").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("did", "th", "start", "n", "off")).alias("one"))
-    shown = materialize(shown, "shown_blocks")
-    sizes = shown.groupBy("anchor").agg(F.count(F.lit(1)).alias("size"))
-    whole = found.where("NOT several").select("did", "th", "start", "n").unionByName(found.where("several").join(shown.where("c > 1").select("anchor", "block"), ["anchor", "block"], "left_semi").select("did", "th", "start", "n"))
-    whole = materialize(whole.select("did", "th", F.col("start").alias("s"), (F.col("start") + F.col("n") - 1 + window).alias("e")), "whole_spans")
+    # what a join reads is written first, so that Spark may split the rows of an anchor that very many blocks have
+    common = materialize(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"), "repeated_anchors")
+    met = materialize(every.join(common, "anchor"), "repeated_blocks")
+    release(spark, every, common)
+    # how often each block occurs, and one occurrence that can show its content
+    shown = materialize(met.groupBy("anchor", "block").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("did", "th", "start", "n", "off")).alias("one")), "shown_blocks")
+    found = materialize(met.join(shown.select("anchor", "block", "c"), ["anchor", "block"]).select("did", "th", "start", "n", "c"), "counted_blocks")
+    release(spark, met)
+    whole = found.where("c > 1").select("did", "th", F.col("start").alias("s"), (F.col("start") + F.col("n") - 1 + window).alias("e"))
+    sizes = shown.groupBy("anchor").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     cuts = shown.join(sizes, "anchor").groupBy("one.did", "one.th").agg(F.collect_list(F.struct("anchor", "c", "one.start", "one.n", "one.off", (F.col("size") > GROUP).alias("hot"))).alias("cuts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,11 +195,12 @@ def repeated_spans(docs: DataFrame, window: int = 200) -> DataFrame:
 
     content = _with_texts(docs, cuts).select("did", "th", "raw", "cuts").mapInArrow(cut, "did long, th int, anchor long, c long, start int, n int, off int, hot boolean, content binary")
     content = materialize(content.dropDuplicates(["anchor", "did", "th", "start"]), "contents")
-    release(spark, found)
     parts = spans_of_groups(content.where("NOT hot"), window).unionByName(spans_of_hot(content.where("hot"), window))
     parts = materialize(parts, "part_spans")
     release(spark, content, shown)
-    return whole.unionByName(parts).groupBy("did", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    out = materialize(whole.unionByName(parts).groupBy("did", "th").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "spans")  # a set: copies of a row have equal spans
+    release(spark, found, parts)
+    return out
 
 
 def spans_of_groups(content: DataFrame, window: int) -> DataFrame:
@@ -256,7 +258,7 @@ def _union(spans: list[dict]) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame, window: int = 200) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
-    spans = materialize(repeated_spans(docs, window), "spans")
+    spans = repeated_spans(docs, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -290,7 +292,7 @@ def _joined(docs: DataFrame, spans: DataFrame) -> DataFrame:
 def cleaned(docs: DataFrame, window: int = 200) -> DataFrame:
     """docs without the repeated bytes of their column text; a character of which a byte went goes whole,
     n_chars (if there) follows, the other columns stay as they were. Null texts stay null."""
-    spans = materialize(repeated_spans(docs, window), "spans")
+    spans = repeated_spans(docs, window)
     if spans.isEmpty():
         return docs
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
