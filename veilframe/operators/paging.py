@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .order import ROWS_IN_RANGE, running
+
 MAX_VALUE_BYTES, MAX_SAMPLE_BYTES = 1 << 20, 16 << 20
 
 
@@ -90,15 +92,7 @@ def byte_budget(df: DataFrame) -> DataFrame:
     return df.select(b.alias("b")).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("b"), F.lit(0)).alias("total_bytes"), F.coalesce(F.max("b"), F.lit(0)).alias("max_row_bytes"))
 
 
-def batched(df: DataFrame, keys: list[str], size: int, buckets: int = 64) -> DataFrame:
-    """df with batch_sequence (from 0 in key order) and row_in_batch, without one global sort task.
-
-    Rows are range-partitioned and numbered within their range; the ranges' sizes (``buckets`` numbers)
-    shift the numbers."""
-    r = df.repartitionByRange(buckets, *keys).withColumn("range_", F.spark_partition_id())
-    spread = r.withColumn("in_range", F.row_number().over(Window.partitionBy("range_").orderBy(*keys)) - 1)
-    sizes = r.groupBy("range_").agg(F.count(F.lit(1)).alias("n_"))
-    before = sizes.select("range_", (F.coalesce(F.sum("n_").over(Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("before_"))
-    at = F.col("before_") + F.col("in_range")
-    out = spread.join(F.broadcast(before), "range_")
-    return out.withColumn("batch_sequence", F.floor(at / size).cast("long")).withColumn("row_in_batch", (at % size).cast("int")).drop("range_", "in_range", "before_")
+def batched(df: DataFrame, keys: list[str], size: int, rows_in_range: int = ROWS_IN_RANGE) -> DataFrame:
+    """df with batch_sequence (from 0 in key order) and row_in_batch, without one global sort task."""
+    out = running(df, keys, {"__at": F.lit(1)}, rows_in_range)
+    return out.withColumn("batch_sequence", F.floor(F.col("__at") / size).cast("long")).withColumn("row_in_batch", (F.col("__at") % size).cast("int")).drop("__at")

@@ -296,7 +296,7 @@ UNION ALL SELECT 'fail', 'conflicting_evidence', 'nickname', count(*) FILTER (a
     "orphan_rows": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0)",
     "multiset_difference": "SELECT c_nationkey, c_mktsegment, 'left' AS side, count(*) AS n FROM customer WHERE c_nationkey = 3 GROUP BY ALL",
     "row_digests": f"SELECT c_custkey, {_ROW_DIGEST} AS h FROM customer",
-    "content_digest": f"WITH r AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS i, {_ROW_DIGEST} AS h FROM customer), b AS (SELECT i // 4096 AS k, sha256(string_agg(h, '' ORDER BY i)) AS h, count(*) AS n FROM r GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY k)) AS digest, CAST(sum(n) AS bigint) AS n_rows FROM b",
+    "content_digest": f"WITH r AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS i, {_ROW_DIGEST} AS h FROM customer), b AS (SELECT i // 4096 AS k, sha256(string_agg(h, '' ORDER BY i)) AS h, count(*) AS n FROM r GROUP BY 1), c AS (SELECT k // 4096 AS l, sha256(string_agg(h, '' ORDER BY k)) AS h, sum(n) AS n FROM b GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY l)) AS digest, CAST(sum(n) AS bigint) AS n_rows FROM c",
     "receipts": _RECEIPTS,
     "receipt_summary": f"SELECT count(*) AS batches, CAST(coalesce(sum(affected_rows), 0) AS bigint) AS rows, max(batch_sequence) AS last_batch FROM ({_RECEIPTS}) q_",
     "progress_events": _PROGRESS,

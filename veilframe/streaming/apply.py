@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.order import running
 from ..operators.paging import RefusedError
 
 RECEIPT = "run_id string, batch_sequence long, batch_id string, table_name string, affected_rows long, outcome int, receipt_version int, created_at timestamp"
@@ -113,13 +114,16 @@ def apply_summary(receipts: DataFrame) -> DataFrame:
 def planned_receipts(batched: DataFrame, run_id: str, writes: F.Column) -> DataFrame:
     """What a run would receipt: batches with something to write, numbered without gaps."""
     b = batched.groupBy("batch_sequence").agg(F.sum(writes.cast("long")).alias("affected_rows")).where("affected_rows > 0")
-    # one row a batch: numbering them is a small sort
-    return b.select((F.row_number().over(Window.orderBy("batch_sequence")) - 1).cast("long").alias("batch_sequence"), "affected_rows").select(F.lit(run_id).alias("run_id"), "batch_sequence", F.concat(F.lit(f"{run_id}-"), F.col("batch_sequence").cast("string")).alias("batch_id"), "affected_rows")
+    n = running(b, ["batch_sequence"], {"at": F.lit(1)}).select(F.col("at").alias("batch_sequence"), "affected_rows")
+    return n.select(F.lit(run_id).alias("run_id"), "batch_sequence", F.concat(F.lit(f"{run_id}-"), F.col("batch_sequence").cast("string")).alias("batch_id"), "affected_rows")
 
 
 def progress_events(receipts: DataFrame) -> DataFrame:
-    w = Window.partitionBy("run_id").orderBy("batch_sequence").rowsBetween(Window.unboundedPreceding, 0)
-    return receipts.select("run_id", (F.col("batch_sequence") + 1).alias("checkpoint_sequence"), F.sum("affected_rows").over(w).alias("rows_committed"), F.count(F.lit(1)).over(w).alias("committed_batches"), "batch_id", "affected_rows")
+    """What a run has done after each batch: sums over all runs in key order, less what went before the run."""
+    r = running(receipts, ["run_id", "batch_sequence"], {"rows_": F.col("affected_rows"), "batches_": F.lit(1)})
+    first = r.groupBy("run_id").agg(F.min("rows_").alias("rows_0"), F.min("batches_").alias("batches_0"))
+    done = r.join(first, "run_id")
+    return done.select("run_id", (F.col("batch_sequence") + 1).alias("checkpoint_sequence"), (F.col("rows_") - F.col("rows_0") + F.col("affected_rows")).alias("rows_committed"), (F.col("batches_") - F.col("batches_0") + 1).alias("committed_batches"), "batch_id", "affected_rows")
 
 
 def transition_issues(progress: DataFrame) -> DataFrame:
