@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.registry import Registry
 from .order import ROWS_IN_RANGE, running
 from .paging import RefusedError
 
@@ -54,12 +55,44 @@ def key_order_issues(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def schema_issues(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Columns in any order, with types and whether they may be NULL."""
+    """Columns in any order: names and types that only one side has, and types that may hold NULL on one
+    side only as far as the values show it (Parquet reads every column as nullable)."""
     of = lambda df: {(f.name, f.dataType.simpleString()) for f in df.schema}
     diff = of(source) ^ of(target)
     return source.sparkSession.createDataFrame([("fail", "schema_mismatch", "", len(diff))] if diff else [], ISSUES)
 
 
+def constraint_issues(target: DataFrame, registry: Registry, table: str, parents: dict[str, DataFrame] | None = None) -> DataFrame:
+    """What the registry promises and the target breaks: unknown constraints, NULL or repeated keys and unique
+    groups, whole foreign keys without a parent (for parents that are given; the table may be its own)."""
+    spark, t = target.sparkSession, registry.table(table)
+    if not t.covered:
+        return spark.createDataFrame([("fail", "incomplete_coverage", "", 1)], ISSUES)
+    out = spark.createDataFrame([], ISSUES)
+    for group in t.unique:
+        whole = target.where(" AND ".join(f"`{c}` IS NOT NULL" for c in group))
+        twice = whole.groupBy(*[F.col(f"`{c}`") for c in group]).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("n"))
+        out = out.unionByName(twice.select(F.lit("fail").alias("status"), F.lit("repeated_unique").alias("code"), F.lit(group[0]).alias("column"), "n"))
+    for k in t.foreign_keys:
+        parent = target if k.parent.lower() == table.lower() else (parents or {}).get(k.parent)
+        if parent is not None:
+            lost = orphans(target, parent, list(k.columns), list(k.parent_columns)).agg(F.count(F.lit(1)).alias("n"))
+            out = out.unionByName(lost.select(F.lit("fail").alias("status"), F.lit("orphan").alias("code"), F.lit(k.columns[0]).alias("column"), "n"))
+    return out.where("n > 0")
+
+
+def all_orphans(tables: dict[str, DataFrame], registry: Registry) -> DataFrame:
+    """table, column, n: for each registered foreign key of the given tables, rows without a parent."""
+    spark = next(iter(tables.values())).sparkSession
+    out = spark.createDataFrame([], "table string, column string, n long")
+    for name in tables:
+        for k in registry.table(name).foreign_keys:
+            if k.parent in tables:
+                lost = orphans(tables[name], tables[k.parent], list(k.columns), list(k.parent_columns)).agg(F.count(F.lit(1)).alias("n"))
+                out = out.unionByName(lost.select(F.lit(name).alias("table"), F.lit(k.columns[0]).alias("column"), "n"))
+    return out
+
+
 def multiset_equal(a: list, b: list) -> bool:
     return Counter(map(repr, a)) == Counter(map(repr, b))
 
@@ -69,8 +102,8 @@ def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
 
 
-def validate(source: DataFrame, target: DataFrame, keys: list[str], planned: list[str], row_limit: int = 0, strict: bool = True) -> tuple[DataFrame, bool]:
-    """All issues, and whether the target passes."""
+def validate(source: DataFrame, target: DataFrame, keys: list[str], planned: list[str], row_limit: int = 0, strict: bool = True, registry: Registry | None = None, table: str = "", parents: dict[str, DataFrame] | None = None) -> tuple[DataFrame, bool]:
+    """All issues, and whether the target passes. With a registry, its promises are checked too."""
     if strict and row_limit:
         raise RefusedError("unsupported: a strict validation covers all rows")
     spark = source.sparkSession
@@ -84,6 +117,8 @@ def validate(source: DataFrame, target: DataFrame, keys: list[str], planned: lis
         found = found.unionByName(key_order_issues(df, keys))
     if not any(m[1] == "partial_coverage" for m in more) and set(planned) <= set(target.columns):
         found = found.unionByName(compare_rows(source, target, keys, planned))
+    if registry is not None:
+        found = found.unionByName(constraint_issues(target, registry, table, parents))
     total = sum_issues(found)
     failed = total.where("status <> 'warning'" if not strict else "true").limit(1).count() > 0
     return total, not failed and bool(planned)
