@@ -4,6 +4,7 @@ from veilframe.functions import formats as f
 from veilframe.functions.dialect import SPARK
 from veilframe.functions.run import INPUT, over
 from veilframe.operators import detection as det
+from veilframe.operators.paging import RefusedError
 
 
 def hits(spark, rule, values):
@@ -125,3 +126,27 @@ def test_evaluation(spark):
     rows = [("r", True, True), ("r", True, False), ("r", False, True), ("q", False, False)]
     out = {r["rule"]: r for r in det.evaluation(spark.createDataFrame(rows, "rule string, expected boolean, found boolean")).collect()}
     assert out["r"]["precision"] == 0.5 and out["r"]["recall"] == 0.5 and out["q"]["precision"] is None
+
+
+def test_only_text_and_dates_match(spark):
+    import datetime
+
+    rows = [(13800138000 + i, f"1380013{8000 + i}", datetime.date(2000, 1, 1) + datetime.timedelta(i)) for i in range(30)]
+    d = spark.createDataFrame(rows, "mobile long, phone string, birth date")
+    got = {r["column_name"]: r["verdict"] for r in det.verdicts(d, ["mobile", "phone", "birth"]).collect()}
+    assert got == {"mobile": "unknown", "phone": "sensitive", "birth": "sensitive"}
+    hits = det.evidence(d, ["mobile"]).collect()
+    assert all(r["hits"] == 0 and r["total"] == 30 for r in hits)
+
+
+def test_names_that_need_quotes(spark):
+    for name in ("my mail", "e.mail", "mail`; --", "'mail'"):
+        d = spark.createDataFrame([(f"u{i}@example.com",) for i in range(30)], [name])
+        assert [tuple(r)[:2] for r in det.verdicts(d, [name]).collect()] == [(name, "sensitive")]
+        assert det.whole_value_matches(d, name).columns[0] == name
+
+
+def test_samples_that_are_too_large_are_refused(spark):
+    d = spark.createDataFrame([("x" * ((1 << 20) + 1),), ("a",)], "c string")
+    with pytest.raises(RefusedError, match="sample bytes"):
+        det.read_verdicts(det.verdicts(d, ["c"]))

@@ -60,14 +60,14 @@ def test_check_texts():
     ({"covered": False}, "c", "incomplete"), ({}, "id", "unsupported"), ({"keys": ()}, "c", "unsupported"),
 ])
 def test_gates(more, column, category):
-    t = TableInfo(**({"name": "t", "keys": ("id",)} | more))
+    t = TableInfo(**({"name": "t", "keys": ("id",), "covered": True} | more))
     with pytest.raises(GateError, match=category):
         preflight(Registry({"t": t}), "t", [column])
-    preflight(Registry({"t": TableInfo("t", ("id",), indexes=(("c",),))}), "t", ["c"])
+    preflight(Registry({"t": TableInfo("t", ("id",), indexes=(("c",),), covered=True)}), "t", ["c"])
 
 
 def test_incoming_references():
-    r = Registry({"t": TableInfo("t", ("id",)), "u": TableInfo("u", ("id",), (), (ForeignKey(("tc",), "T", ("C",)),))})
+    r = Registry({"t": TableInfo("t", ("id",), covered=True), "u": TableInfo("u", ("id",), (), (ForeignKey(("tc",), "T", ("C",)),))})
     with pytest.raises(GateError):
         preflight(r, "t", ["c"])
 
@@ -83,7 +83,7 @@ def test_plans(spark, tmp_path):
     path = f"{tmp_path}/t"
     spark.createDataFrame([(i, f"u{i}@example.com", "x") for i in range(40)], "id int, mail string, other string").write.parquet(path)
     d = {"t": spark.read.parquet(path)}
-    r = Registry({"t": TableInfo("t", ("id",))})
+    r = Registry({"t": TableInfo("t", ("id",), covered=True)})
     run = plan.Runtime((plan.Scope("t", "mail"),), "fake_email")
     a, b = (plan.build(d, r, run, "target") for _ in range(2))
     plan.recheck(a, b)

@@ -129,7 +129,7 @@ def test_gates_come_before_any_write(spark, source, tmp_path):
     with pytest.raises(RefusedError):
         run.execute(source, "t", mask, ["id"], ["other"], gates([]), BINDING)
     out = run.execute(source, "t", mask, ["id"], ["mail"], gates([]), BINDING)
-    assert out == {"state": "business_complete", "batches": 3, "missing_batches": 0, "rows_receipted": 90, "rows_committed": 90, "rows_processed": 90}
+    assert out == {"state": "complete", "batches": 3, "missing_batches": 0, "rows_receipted": 90, "rows_committed": 90, "rows_processed": 90}
     with pytest.raises(RefusedError):
         run.execute(source, "t", mask, ["id"], ["mail"], gates([]), BINDING)
 

@@ -1,7 +1,8 @@
-"""Command line: scan, mask, validate, approve, revoke, status, version.
+"""Command line: scan, mask, validate, approve, revoke, stream, resume, status, version.
 
 Nothing that is printed holds a value: only positions, categories and counts. Exit 0: done; 1: refused or
-incomplete; 2: bad arguments.
+incomplete; 2: bad arguments. resume: 3 may be tried again, 4 conflict, 5 commit unknown, 6 unsupported,
+7 not found, 8 unsafe, 9 validation failed.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from .operators import changes, masking, validation
 from .operators.paging import RefusedError
 from .plans import plan as plans
 from .plans.approval import Record, Store, load_trust
-from .plans.registry import GateError, Registry, TableInfo
+from .plans.registry import GateError, Registry, preflight
 from .sources import readers
-from .streaming.apply import Run
+from .streaming.apply import Binding, Budget, Gates, Run
 
 VERSION = "0.1"
 
@@ -28,7 +29,7 @@ VERSION = "0.1"
 def _arguments() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="veilframe")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("scan", "mask", "validate", "approve", "revoke"):
+    for name in ("scan", "mask", "validate", "approve", "revoke", "stream", "resume"):
         c = sub.add_parser(name)
         c.add_argument("--source", required=True)
         c.add_argument("--target", required=True)
@@ -47,6 +48,12 @@ def _arguments() -> argparse.ArgumentParser:
         c.add_argument("--valid-for", type=int, default=24 * 3600)
         c.add_argument("--apply", action="store_true")
         c.add_argument("--out")
+        c.add_argument("--constraints", default="", metavar="JSON")
+        if name in ("stream", "resume"):
+            c.add_argument("--run-folder", required=True)
+            c.add_argument("--run-id", required=True)
+            for bound in ("page-rows", "max-row-bytes", "max-process-bytes", "max-disk-bytes"):
+                c.add_argument(f"--{bound}", type=int, required=True)
     s = sub.add_parser("status")
     s.add_argument("--run-folder", required=True)
     s.add_argument("--run-id", required=True)
@@ -67,7 +74,7 @@ def _plan(spark: SparkSession, a: argparse.Namespace):
     keys: dict[str, tuple[str, ...]] = {}
     for t, c in _pairs(a.key_column):
         keys[t] = (*keys.get(t, ()), c)
-    registry = Registry({t: TableInfo(t, keys.get(t, ())) for t in runtime.tables})
+    registry = plans.from_file(a.constraints, keys, runtime.tables)
     source = {t: readers.parquet(spark, a.source, t, tuple(runtime.tables)) for t in runtime.tables}
     reviewed: dict[str, dict[str, str]] = {}
     for t, c in _pairs(a.reviewed):
@@ -86,6 +93,41 @@ def _masked(a: argparse.Namespace, df: DataFrame, table: str, columns: list[str]
     return masking.require_masked(out, columns)
 
 
+#: Exits of resume by category; others may be tried again.
+EXITS = {"conflict": 4, "unknown": 5, "unsupported": 6, "not_found": 7, "unsafe": 8, "validation": 9}
+
+
+def _streamed(spark: SparkSession, a: argparse.Namespace, plan: plans.Plan, runtime: plans.Runtime, registry: Registry, source: dict[str, DataFrame], scopes: tuple, now: int) -> int:
+    """One table in receipted batches; the run's folder holds its target."""
+    if len(runtime.tables) != 1 or not a.key_file:
+        raise GateError("unsupported: a streamed run has one table and a key file")
+    t = runtime.tables[0]
+    keys, columns = list(registry.table(t).keys), runtime.columns(t)
+
+    def mask(batch: DataFrame) -> DataFrame:
+        m = _masked(a, batch, t, columns, keys)
+        return m.select(*[m[f"{c}_masked"].alias(c) if c in columns else m[c] for c in batch.columns])
+
+    def approve() -> None:
+        if not (a.approvals and a.trust_file):
+            raise GateError("refused: a streamed run needs an approval")
+        try:
+            Store(a.approvals, load_trust(a.trust_file)).lookup(plan.plan_id, a.target, scopes, now)
+        except GateError as e:
+            raise GateError("approval: none that holds") from e
+
+    budget = Budget(a.max_row_bytes, a.max_process_bytes, a.max_disk_bytes, a.page_rows, 0)
+    gates = Gates(approve, lambda: preflight(registry, t, columns), budget)
+    binding = Binding.of(plan.plan_id, readers.key_from_file(a.key_file), a.key_id, (budget, runtime))
+    r = Run(spark, a.run_folder, a.run_id)
+    if a.command == "resume":
+        r.manifest()
+    go = r.resume if a.command == "resume" else r.execute
+    out = go(f"{a.source.rstrip('/')}/{t}.parquet", t, mask, keys, columns, gates, binding, registry=registry)
+    print(f"table 0: {out['rows_committed']} rows in {out['batches']} batches, {out['state']}")
+    return 0
+
+
 def run(argv: list[str], spark: SparkSession | None = None, now: int | None = None) -> int:
     try:
         a = _arguments().parse_args(argv)
@@ -99,7 +141,11 @@ def run(argv: list[str], spark: SparkSession | None = None, now: int | None = No
     try:
         if a.command == "status":
             r = Run(spark, a.run_folder, a.run_id).status().first()
-            print(f"batches {r['batches']} rows {r['rows']}")
+            try:
+                state = Run(spark, a.run_folder, a.run_id).manifest()["state"]
+            except RefusedError:
+                state = "none"
+            print(f"batches {r['batches']} rows {r['rows']} state {state}")
             return 0
         plan, runtime, registry, source = _plan(spark, a)
         scopes = tuple((s.table, s.column) for s in runtime.scopes)
@@ -114,11 +160,13 @@ def run(argv: list[str], spark: SparkSession | None = None, now: int | None = No
             getattr(store, a.command)(record, Path(a.signing_key_file).read_bytes())
             print(f"{a.command}d {plan.plan_id}")
             return 0
+        if a.command in ("stream", "resume"):
+            return _streamed(spark, a, plan, runtime, registry, source, scopes, now)
         for k, t in enumerate(runtime.tables):
             keys, columns = list(registry.table(t).keys), runtime.columns(t)
             target = readers.parquet(spark, a.target, t, tuple(runtime.tables))
             if a.command == "validate":
-                issues, ok = validation.validate(source[t], target, keys, columns)
+                issues, ok = validation.validate(source[t], target, keys, columns, registry=registry, table=t)
                 for r in issues.collect():
                     print(f"table {k}: {r['status']} {r['code']} {r['n']}")
                 if not ok:
@@ -133,11 +181,12 @@ def run(argv: list[str], spark: SparkSession | None = None, now: int | None = No
             if not (a.approvals and a.trust_file and a.out):
                 raise GateError("unsafe: applying needs an approval and an output folder")
             Store(a.approvals, load_trust(a.trust_file)).lookup(plan.plan_id, a.target, scopes, now)
+            plans.recheck(plan, _plan(spark, a)[0])  # the input may have changed since it was scanned
             print(f"table {k}: {changes.apply_changes(target, rows, keys, columns, f'{a.out}/{t}.parquet')} rows changed")
         return 0
     except (GateError, MaskError, RefusedError) as e:
         print(f"refused: {e}", file=sys.stderr)
-        return 1
+        return EXITS.get(str(e).split(":")[0], 3) if a.command == "resume" else 1
 
 
 def main() -> None:

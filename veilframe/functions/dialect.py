@@ -15,6 +15,9 @@ class Spark:
     def text(self, s: str) -> str:
         return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
+    def ident(self, name: str) -> str:
+        return "`" + name.replace("`", "``") + "`"
+
     def blob(self, hexed: str) -> str:
         return f"unhex('{hexed}')"
 
@@ -93,6 +96,9 @@ class Duck(Spark):
     def text(self, s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
 
+    def ident(self, name: str) -> str:
+        return '"' + name.replace('"', '""') + '"'
+
     def blob(self, hexed: str) -> str:
         return f"from_hex('{hexed}')"
 

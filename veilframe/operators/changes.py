@@ -15,17 +15,27 @@ def lockstep(source: DataFrame, target: DataFrame, keys: list[str], columns: lis
     that differ, repeated or NULL keys. One full outer join, one aggregate."""
     s = source.select(*keys, *[F.col(c).alias(f"s_{c}") for c in columns], F.lit(1).alias("in_s"))
     t = target.select(*keys, *[F.col(c).alias(f"t_{c}") for c in columns], F.lit(1).alias("in_t"))
-    j = s.join(t, keys, "full_outer")
+    # a key is counted on each side before the join, so a repeated one can't multiply rows
+    s, t = (_once(d, keys, f"rows_{x}") for d, x in ((s, "s"), (t, "t")))
+    null = F.lit(False)
+    for k in keys:
+        null = null | F.col(k).isNull()
+    j = s.join(t, keys, "full_outer")  # partitioned by the keys already; NULL keys meet nothing and count as bad
     n = lambda cond, name: F.coalesce(F.sum(F.when(cond, 1).otherwise(0)), F.lit(0)).cast("long").alias(name)
     both = F.col("in_s").isNotNull() & F.col("in_t").isNotNull()
     differs = reduce(lambda a, b: a | b, [~F.col(f"s_{c}").eqNullSafe(F.col(f"t_{c}")) for c in columns], F.lit(False))
-    return j.agg(F.count(F.lit(1)).alias("rows"), n(F.col("in_t").isNull(), "only_source"), n(F.col("in_s").isNull(), "only_target"), n(both & differs, "conflicts"))
+    return j.agg(F.count(F.lit(1)).alias("rows"), n(F.col("in_t").isNull(), "only_source"), n(F.col("in_s").isNull(), "only_target"), n(both & differs, "conflicts"), n(null | (F.coalesce("rows_s", F.lit(0)) > 1) | (F.coalesce("rows_t", F.lit(0)) > 1), "bad_keys"))
+
+
+def _once(side: DataFrame, keys: list[str], count: str) -> DataFrame:
+    rest = [c for c in side.columns if c not in keys]
+    return side.groupBy(*keys).agg(*[F.first(c).alias(c) for c in rest], F.count(F.lit(1)).alias(count))
 
 
 def require_lockstep(source: DataFrame, target: DataFrame, keys: list[str], columns: list[str]) -> None:
     r = lockstep(source, target, keys, columns).first()
-    if r["only_source"] or r["only_target"] or r["conflicts"]:
-        raise RefusedError(f"conflict: {r['only_source']} + {r['only_target']} unmatched, {r['conflicts']} changed")
+    if r["only_source"] or r["only_target"] or r["conflicts"] or r["bad_keys"]:
+        raise RefusedError(f"conflict: {r['only_source']} + {r['only_target']} unmatched, {r['conflicts']} changed, {r['bad_keys']} keys NULL or repeated")
     if not r["rows"]:
         raise RefusedError("incomplete: no rows")
 

@@ -6,7 +6,6 @@ A rule is a format predicate over whole values plus what the column's name says.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from dataclasses import dataclass
 
@@ -15,7 +14,11 @@ from pyspark.sql import DataFrame
 from ..functions.dialect import SPARK, Spark
 from ..functions.formats import RULES
 from ..functions.run import INPUT, over
+from .paging import MAX_SAMPLE_BYTES, MAX_VALUE_BYTES, RefusedError
 
+#: Bounds of a sample, for one value and for all.
+TOO_LARGE = "unsafe: sample bytes"
+VALUE = "value"
 _DEALS = ("order", "transaction", "订单", "交易", "流水")
 
 
@@ -89,20 +92,30 @@ def _rules(d: Spark) -> list[Rule]:
 BLANK = r"^[\s\p{Z}\x{0085}]*\z"
 
 
-def samples_sql(d: Spark, relation: str, columns: list[str], limit: int) -> str:
-    """column_name, value: each column's least ``limit`` distinct values that aren't NULL, blanks left out after the cut."""
+def samples_sql(d: Spark, relation: str, columns: list[str], limit: int, kinds: dict[str, str] | None = None) -> str:
+    """column_name, kind, value: each column's least ``limit`` distinct values that aren't NULL, blanks left out after the cut."""
     kind = "string" if d.name == "spark" else "varchar"
-    parts = [f"SELECT {d.text(c)} AS column_name, CAST({c} AS {kind}) AS value FROM {relation} WHERE {c} IS NOT NULL" for c in columns]
+    of = lambda c: d.text((kinds or {}).get(c, "text"))
+    parts = [f"SELECT {d.text(c)} AS column_name, {of(c)} AS kind, CAST({d.ident(c)} AS {kind}) AS value FROM {relation} WHERE {d.ident(c)} IS NOT NULL" for c in columns]
     if d.name == "spark":  # one scan for all columns
-        parts = [f"SELECT column_name, value FROM (SELECT stack({len(columns)}, {', '.join(f'{d.text(c)}, CAST({c} AS string)' for c in columns)}) AS (column_name, value) FROM {relation}) st_ WHERE value IS NOT NULL"]
-    return f"SELECT column_name, value FROM (SELECT column_name, value, row_number() OVER (PARTITION BY column_name ORDER BY value) AS n_ FROM (SELECT DISTINCT column_name, value FROM ({' UNION ALL '.join(parts)}) u_) v_) w_ WHERE n_ <= {limit} AND NOT {d.match('value', BLANK)}"
+        parts = [f"SELECT column_name, kind, value FROM (SELECT stack({len(columns)}, {', '.join(f'{d.text(c)}, {of(c)}, CAST({d.ident(c)} AS string)' for c in columns)}) AS (column_name, kind, value) FROM {relation}) st_ WHERE value IS NOT NULL"]
+    return f"SELECT column_name, kind, value FROM (SELECT column_name, kind, value, row_number() OVER (PARTITION BY column_name ORDER BY value) AS n_ FROM (SELECT DISTINCT column_name, kind, value FROM ({' UNION ALL '.join(parts)}) u_) v_) w_ WHERE n_ <= {limit} AND NOT {d.match('value', BLANK)}"
 
 
-def evidence_sql(d: Spark, relation: str, columns: list[str], settings: Settings = Settings()) -> str:
+def column_kinds(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    """text, date or other; only text can match a rule, and dates the rule for dates."""
+    types = {f.name: f.dataType.typeName() for f in df.schema}
+    return {c: {"string": "text", "varchar": "text", "char": "text", "date": "date"}.get(types[c], "other") for c in columns}
+
+
+def evidence_sql(d: Spark, relation: str, columns: list[str], settings: Settings = Settings(), kinds: dict[str, str] | None = None) -> str:
     """column_name, rule, hits, total, format_strong, context_implied, eligible, reasons, conflict, verdict."""
     rules = _rules(d)
-    hits = ", ".join(f"sum(CASE WHEN {RULES[r.name](d, 'value')} THEN 1 ELSE 0 END) AS h_{r.name}" for r in rules)
-    wide = f"SELECT column_name, count(*) AS total, {hits} FROM ({samples_sql(d, relation, columns, settings.sample_limit)}) s_ GROUP BY column_name"
+    hits = ", ".join(f"sum(CASE WHEN kind {"IN ('text', 'date')" if r.name == 'cn_date' else "= 'text'"} AND {RULES[r.name](d, 'value')} THEN 1 ELSE 0 END) AS h_{r.name}" for r in rules)
+    total = "count(*)"
+    if d.name == "spark":  # a sample that is too large is refused when it is read
+        total = f"if(max(octet_length(value)) > {MAX_VALUE_BYTES} OR sum(octet_length(value)) > {MAX_SAMPLE_BYTES}, raise_error('{TOO_LARGE}'), count(*))"
+    wide = f"SELECT column_name, {total} AS total, {hits} FROM ({samples_sql(d, relation, columns, settings.sample_limit, kinds)}) s_ GROUP BY column_name"
     says = [(c, i, r) for c in columns for i, r in enumerate(rules)]
     rows = ", ".join(f"({d.text(c)}, {i}, {d.text(r.name)}, {str(context_implies(r, c)).lower()}, {str(r.required).lower()})" for c, i, r in says)
     facts = f"SELECT * FROM (VALUES {rows}) AS v_(column_name, rule_no, rule, context_implied, required)"
@@ -131,7 +144,7 @@ FROM (SELECT *, total >= {settings.min_samples} AND (eligible_n > 1 OR {lone} >
 
 
 def evidence(df: DataFrame, columns: list[str], settings: Settings = Settings()) -> DataFrame:
-    return over(df, evidence_sql(SPARK, INPUT, columns, settings))
+    return over(df, evidence_sql(SPARK, INPUT, columns, settings, column_kinds(df, columns)))
 
 
 def verdicts(df: DataFrame, columns: list[str], settings: Settings = Settings(), override: dict[str, str] | None = None, reviewed: dict[str, str] | None = None, skip: tuple[str, ...] = ()) -> DataFrame:
@@ -168,8 +181,18 @@ def evaluation(scored: DataFrame) -> DataFrame:
 
 def whole_value_matches(df: DataFrame, column: str) -> DataFrame:
     """The column's values with one boolean for each rule."""
-    return over(df, f"SELECT {column}, {', '.join(f'{RULES[r.name](SPARK, column)} AS {r.name}' for r in RULE_TABLE)} FROM {INPUT}")
+    from pyspark.sql import functions as F
+
+    d = df.select(F.col(SPARK.ident(column)).alias("value"))
+    out = over(d, f"SELECT value, {', '.join(f'{RULES[r.name](SPARK, VALUE)} AS {r.name}' for r in RULE_TABLE)} FROM {INPUT}")
+    return out.withColumnRenamed("value", column)
 
 
-def is_identifier(name: str) -> bool:
-    return bool(re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name))
+def read_verdicts(rows: DataFrame) -> list:
+    """Collect verdicts; a sample that is too large is refused by category."""
+    try:
+        return rows.collect()
+    except Exception as e:
+        if TOO_LARGE in str(e):
+            raise RefusedError(TOO_LARGE) from None
+        raise

@@ -157,7 +157,7 @@ def masked_select(d: Spark, relation: str, columns: list[str], column: str, plan
         value = "''" if name == "blank" else _ZERO.get(plan.kind, d.blob(""))
         value = d.blob("") if plan.kind == "bytes" else value
         same = "NULL" if name == "blank" or plan.kind == "bytes" else f"CASE WHEN {s} = {value} THEN 'unsafe' END"
-        return f"SELECT {keep}, CASE WHEN {s} IS NOT NULL THEN {value} END AS {s}_masked, CASE WHEN {s} IS NOT NULL THEN {same} END AS {s}_error FROM {relation}"
+        return f"SELECT {keep}, CASE WHEN {s} IS NOT NULL AND {same} IS NULL THEN {value} END AS {s}_masked, CASE WHEN {s} IS NOT NULL THEN {same} END AS {s}_error FROM {relation}"
     st = strategy(d, name, s, plan)
     if plan.kind not in st.kinds:
         raise MaskError("unsupported: kind")
@@ -185,14 +185,21 @@ def masked_select(d: Spark, relation: str, columns: list[str], column: str, plan
 
 
 def mask_column(df: DataFrame, column: str, plan: MaskPlan, keep: list[str] | None = None) -> DataFrame:
-    """keep columns (all by default), <column>_masked and <column>_error."""
-    source = df.withColumn(column, F.date_format(column, "yyyy-MM-dd")) if plan.kind == "date" else df
-    return over(source, masked_select(SPARK, INPUT, keep or df.columns, column, plan))
+    """keep columns (all by default), <column>_masked and <column>_error.
+
+    Columns go by neutral names below, so any name will do: with blanks, dots or quotes, or one that the
+    masks use themselves."""
+    keep = keep or df.columns
+    names = {c: f"in{i}_" for i, c in enumerate(dict.fromkeys([*keep, column]))}
+    dated = lambda c: F.date_format(c, "yyyy-MM-dd") if plan.kind == "date" else c
+    source = df.select(*[(dated(F.col(SPARK.ident(c))) if c == column else F.col(SPARK.ident(c))).alias(n) for c, n in names.items()])
+    out = over(source, masked_select(SPARK, INPUT, [names[c] for c in keep], names[column], plan))
+    return out.select(*[F.col(names[c]).alias(c) for c in keep], *[F.col(f"{names[column]}_{x}").alias(f"{column}_{x}") for x in ("masked", "error")])
 
 
 def violations(masked: DataFrame, columns: list[str]) -> DataFrame:
     """column, code, n: what was refused. Run it before anything is written."""
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}_error").alias("code")) for c in columns])).alias("x")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(SPARK.ident(f"{c}_error")).alias("code")) for c in columns])).alias("x")
     return masked.select(each).where("x.code IS NOT NULL").groupBy(F.col("x.column").alias("column"), F.col("x.code").alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 

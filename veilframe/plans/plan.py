@@ -6,12 +6,13 @@ import hashlib
 import json
 import os
 from dataclasses import asdict, dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 
 from ..operators import detection
 from ..operators.masking import STRATEGIES
-from .registry import GateError, Registry, preflight
+from .registry import GateError, Registry, preflight, table_info
 
 
 @dataclass(frozen=True)
@@ -61,8 +62,15 @@ def schema_digest(frames: dict[str, DataFrame], registry: Registry) -> str:
 
 
 def snapshot(df: DataFrame) -> str:
-    """The files that a table was read from, by name; taken before and after a run, it shows a changed input."""
-    return digest(sorted(df.inputFiles()))
+    """The files that a table was read from, with size and time of change; taken before and after a run, it
+    shows a changed input, a file that was rewritten under its name included."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for f in df.inputFiles():
+        p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f))
+        s = p.getFileSystem(conf).getFileStatus(p)
+        found.append((f, s.getLen(), s.getModificationTime()))
+    return digest(sorted(found))
 
 
 @dataclass(frozen=True)
@@ -91,7 +99,7 @@ def build(source: dict[str, DataFrame], registry: Registry, runtime: Runtime, ta
         raise GateError("incomplete: scope not found")
     found = []
     for t in runtime.tables:
-        rows = detection.verdicts(source[t], runtime.columns(t), settings, reviewed=(reviewed or {}).get(t)).collect()
+        rows = detection.read_verdicts(detection.verdicts(source[t], runtime.columns(t), settings, reviewed=(reviewed or {}).get(t)))
         found += [(t, r["column_name"], r["verdict"]) for r in rows]
     if any(v == "unknown" for _, _, v in found):
         raise GateError("incomplete: unknown columns")
@@ -105,6 +113,18 @@ def recheck(plan: Plan, again: Plan) -> None:
         raise GateError("conflict: the plan no longer holds")
 
 
+def from_file(path: str, keys: dict[str, tuple[str, ...]], tables: list[str]) -> Registry:
+    """A registry declared in JSON: {"tables": {name: {"keys": [...], "unique": [[...]], "foreign_keys":
+    [{"columns": [...], "parent": name, "parent_columns": [...]}], "checks": [text], "triggers": false}}}.
+
+    Tables that the file doesn't name stay uncovered, so every gate refuses them."""
+    try:
+        declared = json.loads(Path(path).read_text())["tables"] if path else {}
+        return Registry({t: table_info(t, declared.get(t), keys.get(t, ())) for t in dict.fromkeys([*declared, *tables])})
+    except (OSError, ValueError, KeyError, TypeError, AttributeError) as e:
+        raise GateError("invalid: constraint file") from e
+
+
 def distinct_paths(source: str, target: str) -> None:
     if os.path.realpath(source) == os.path.realpath(target):
         raise GateError("invalid: source and target are one")

@@ -283,7 +283,7 @@ ORACLES: dict[str, str] = {
     "bounded_page": "SELECT c_custkey, c_name, c_mktsegment, row_number() OVER (ORDER BY c_custkey) > 16 AS ahead FROM customer WHERE c_custkey > 10 ORDER BY c_custkey LIMIT 17",
     "row_costs": "SELECT count(*) AS rows, CAST(sum(b) AS bigint) AS total_bytes, CAST(max(b) AS bigint) AS max_row_bytes FROM (SELECT strlen(CAST(c_custkey AS varchar)) + strlen(c_name) + strlen(CAST(c_nationkey AS varchar)) + strlen(c_mktsegment) AS b FROM customer) b_",
     "batch_ordinals": "SELECT c_custkey, CAST((row_number() OVER (ORDER BY c_custkey) - 1) // 64 AS bigint) AS batch_sequence, CAST((row_number() OVER (ORDER BY c_custkey) - 1) % 64 AS int) AS row_in_batch FROM customer",
-    "lockstep_counts": f"SELECT count(*) AS rows, count(*) FILTER (id = 5) AS only_source, CAST(0 AS bigint) AS only_target, count(*) FILTER (id <> 5 AND id % 10 = 1) AS conflicts FROM {_P}",
+    "lockstep_counts": f"SELECT count(*) AS rows, count(*) FILTER (id = 5) AS only_source, CAST(0 AS bigint) AS only_target, count(*) FILTER (id <> 5 AND id % 10 = 1) AS conflicts, CAST(0 AS bigint) AS bad_keys FROM {_P}",
     "row_changes": f"SELECT id, nickname AS expected_nickname, nickname_masked AS replacement_nickname FROM ({_NICK}) m_ WHERE nickname IS NOT NULL",
     "merged_rows": f"SELECT id, CASE WHEN id % 30 = 1 THEN 'moved' WHEN nickname IS NOT NULL THEN nickname_masked END AS nickname, city, nickname IS NOT NULL AND id % 30 <> 1 AS applied_ FROM ({_NICK}) m_",
     "validate_issues": f"""WITH {_TAMPERED}, j AS (SELECT p.id AS a, t.id AS b, p.email AS pe, t.email AS te, p.nickname AS pn, t.nickname AS tn FROM p FULL OUTER JOIN t ON p.id = t.id)

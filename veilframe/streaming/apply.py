@@ -240,7 +240,8 @@ class Run:
         out = self.summary()
         if out["missing_batches"] or out["rows_committed"] != out["rows_receipted"] or out["rows_processed"] != source.count():
             raise RefusedError("conflict: records")  # complete only if the audit agrees
-        return out
+        self.move("complete")
+        return out | {"state": "complete"}
 
     def summary(self) -> dict:
         """Receipts beside progress; missing_batches counts gaps in the sequences from 0."""
