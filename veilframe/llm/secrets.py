@@ -1,7 +1,7 @@
 """Secret scans with a recursive decoding worklist.
 
-The whole text is scanned by the base patterns. Then a worklist unwraps layers: percent-encoded runs,
-\\uXXXX and \\xXX escapes, base64 (standard and URL-safe) and, inside base64, gzip, zlib or bzip2 data.
+The whole text is scanned by the base patterns. Then a worklist unwraps layers: percent-encoded characters,
+\\uXXXX and \\xXX escapes (both decoded within all that a find may consist of around them), base64 (standard and URL-safe) and, inside base64, gzip, zlib or bzip2 data.
 Each decoded layer is scanned again and searched for further layers, until nothing new appears; a
 layer with the content and the origin of one seen before isn't unwrapped again, which ends cycles (equal
 content from elsewhere is: each occurrence has its own spans and counts as a layer). Each layer knows, for
@@ -10,7 +10,7 @@ is reported as a span of the original text. Base finds always stay.
 
 Defined results: null text counts as empty text; every whole text is scanned; repeated rows give
 repeated results; an empty table gives an empty table. Layers that aren't UTF-8 are read byte by byte;
-``n_layers`` counts those that are text or hold a find. Compressed data is unfolded with all its members
+``n_layers`` counts the encoded words of those that are text or hold a find. Compressed data is unfolded with all its members
 and what follows them. If it is more than ``MAX_LAYER`` bytes, it is scanned in overlapping parts and
 counted in ``n_oversize``: only an encoded run longer than the overlap may be cut at a part's edge.
 """
@@ -26,7 +26,6 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from itertools import chain
-from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,10 +45,12 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 #: What every assignment must hold; a cheap test that spares most texts the slow pattern.
 _HINT = re.compile(r"[:=]")
 
-_PERCENT = re.compile(r"[A-Za-z0-9_.~+/=:%-]+")
-_ESCAPE = re.compile(r"\S+")
+#: What a find may consist of before and after it is decoded; an encoded character is decoded in its whole run,
+#: so a find that is encoded only in part is seen too.
+_RUN = re.compile(r"""[A-Za-z0-9_.~+/=:%\\"'\x20-]+""")
 _ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_BASE64)
+_SIGN = re.compile(r"[/_-]")
 _ONE_PERCENT = re.compile(r"%([0-9A-Fa-f]{2})")
 _ENCODED = re.compile("|".join(f"(?:{p.pattern})" for p in (_ONE_PERCENT, _ONE_ESCAPE, _BASE64)))
 
@@ -73,6 +74,7 @@ class Layer:
     def __init__(self, text: str, starts: list[int], begin: list[int], end: list[int], linear: bool = False):
         self.text, self.starts, self.begin, self.end, self.linear = text, starts, begin, end, linear
         self.oversize = False
+        self.tokens = 1  #: encoded words that it was decoded from
 
     def span(self, i: int, j: int) -> tuple[int, int]:
         """Of characters i to j (exclusive)."""
@@ -192,10 +194,13 @@ def _parts(stream: Iterable[bytes]) -> Iterator[bytes]:
         yield bytes(held)
 
 
-def _decoded_base64(token: str) -> bytes | None:
+def _decoded_base64(token: str, exact: bool = True) -> bytes | None:
+    """The token's bytes; unless exact, a character too many at its end is left out."""
     body = token.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
-        return None
+        if exact:
+            return None
+        body = body[:-1]
     try:
         return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
@@ -206,7 +211,7 @@ def unwrap(layer: Layer) -> Iterator[Layer]:
     """The layers directly inside."""
     text = layer.text
     if "%" in text:
-        for m in _PERCENT.finditer(text):
+        for m in _RUN.finditer(text):
             if not _ONE_PERCENT.search(m[0]):
                 continue
             pieces, at = [], m.start()
@@ -216,11 +221,11 @@ def unwrap(layer: Layer) -> Iterator[Layer]:
                 pieces.append((bytes([int(e[1], 16)]), s, s + 3))
                 at = s + 3
             pieces += [(c.encode(), i, i + 1) for i, c in enumerate(text[at : m.end()], at)]
-            assert b"".join(p for p, _, _ in pieces) == unquote_to_bytes(m[0])
             if got := _layer(pieces, layer):
+                got.tokens = _tokens(_ONE_PERCENT, m[0])
                 yield got
     if "\\" in text:
-        for m in _ESCAPE.finditer(text):
+        for m in _RUN.finditer(text):
             if not _ONE_ESCAPE.search(m[0]):
                 continue
             units, at = [], m.start()
@@ -235,21 +240,36 @@ def unwrap(layer: Layer) -> Iterator[Layer]:
                 at = t
             units += [(c, i, i + 1) for i, c in enumerate(text[at : m.end()], at)]
             if got := _layer([(c.encode("utf-8", "replace"), i, j) for c, i, j in units], layer):
+                got.tokens = _tokens(_ONE_ESCAPE, m[0])
                 yield got
     for m in _BASE64.finditer(text):
-        if (raw := _decoded_base64(m[0])) is None:
-            continue
-        inner, big = _unfold(raw)
-        if not big and inner == [raw]:
-            t, _ = _text(raw)
-            if _readable(t) or scan(t) or _ENCODED.search(t):  # else there is nothing in it
-                s = m.start()
-                yield _layer([(raw[i : i + 1], s + i * 8 // 6, s + (i * 8 + 7) // 6 + 1) for i in range(len(raw))], layer)
-            continue
-        for part in _parts(inner):
-            if got := _layer([(part, m.start(), m.end())], layer):
-                got.oversize, big = big, False
-                yield got
+        for s in _base64_starts(m[0]):
+            whole = s == 0 or m[0][s - 1] in "/_-"
+            s += m.start()
+            if (raw := _decoded_base64(text[s : m.end()], exact=whole)) is None:
+                continue
+            inner, big = _unfold(raw) if whole else ([raw], False)
+            if not big and inner == [raw]:
+                t, _ = _text(raw)
+                if whole and _readable(t) or scan(t) or _ENCODED.search(t):  # else there is nothing in it
+                    yield _layer([(raw[i : i + 1], s + i * 8 // 6, s + (i * 8 + 7) // 6 + 1) for i in range(len(raw))], layer)
+                continue
+            for part in _parts(inner):
+                if got := _layer([(part, s, m.end())], layer):
+                    got.oversize, big = big, False
+                    yield got
+
+
+def _tokens(encoded: re.Pattern, run: str) -> int:
+    return sum(encoded.search(w) is not None for w in run.split(" "))
+
+
+def _base64_starts(run: str) -> list[int]:
+    """Where in a run of its characters encoded data may start: at its begin, behind a sign that may be a
+    separator, and once for each of the four alignments, so that data behind other characters is seen."""
+    rest = len(run.rstrip("=")) - MIN_BASE64
+    signs = [m.end() for m in _SIGN.finditer(run) if m.end() <= rest]
+    return sorted({0, *(k for k in (1, 2, 3) if k <= rest), *signs})
 
 
 def find(text: str) -> tuple[list[Span], list[Span], int, int]:
@@ -273,7 +293,7 @@ def find(text: str) -> tuple[list[Span], list[Span], int, int]:
             got = scan(x.text)
             if short:
                 finds[x.text] = got
-        layers += bool(got) or _readable(x.text)
+        layers += x.tokens * (bool(got) or _readable(x.text))
         found.update((k, *x.span(i, j)) for k, i, j in got)
         work.append(unwrap(x))
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
