@@ -196,7 +196,7 @@ _PATTERNS = {
 _CARD_RUN = re.compile(r"[0-9]+(?:[ -][0-9]+)*")
 _IBAN_RUN = re.compile(r"(?<![A-Za-z0-9])[A-Z0-9]+(?: [A-Z0-9]+)*(?![A-Za-z0-9])")
 _GROUP = re.compile(r"[A-Z0-9]+")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+")
 _DIGIT = re.compile(r"[0-9]")
 
@@ -204,7 +204,10 @@ _DIGIT = re.compile(r"[0-9]")
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     at = text.find("@")
     while at >= 0:
-        local = _LOCAL.search(text[max(0, at - 64) : at])[0].lstrip(".%+-")
+        begin = at
+        while begin and text[begin - 1] in _LOCAL:
+            begin -= 1
+        local = text[begin:at].lstrip(".%+-")
         domain = _DOMAIN.match(text, at + 1)
         if local and domain and re.search("[A-Za-z0-9]", local):
             yield at - len(local), domain.end() - (domain[0].endswith("-"))
