@@ -2,13 +2,14 @@
 
 Every line that holds a word is normalised (ASCII lower case, white space runs to one blank,
 trimmed) and hashed. For each host (column ``source``) the operator counts in how many distinct
-documents a line occurs; exact copies of one text count once, so a copied document doesn't
-turn its own lines into boilerplate. Lines above ``max(min_docs, share * documents of the host)``
-are removed, and a document is rejected if too little is left.
+documents a line occurs. Lines in more than ``min_docs`` documents and in more than ``share`` of the
+host's (or in more than ``most_docs``, however large the host) are removed, and a document is rejected
+if too little is left. Texts are read once: what follows works on the lines' hashes.
 
 Defined results: null text counts as no text (no words, base_failed true); null hosts form one
-host of their own; repeated rows get equal results, one row each; an empty table gives an empty
-table; further columns of the input are ignored.
+host of their own; a document is a doc_id, and rows without one are told apart by their texts; rows of one
+doc_id count once in a line's documents and get their own results, one row each; an empty table gives an
+empty table; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, WS_CLASS
+from .common import WS, WS_CLASS, materialize
 
 SYMBOLS = "#*$%&|<>"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -28,6 +29,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 class LineLimits:
     min_docs: int = 10  #: a line in at most so many documents of a host always stays
     share: float = 0.01  #: nor is it removed up to this share of the host's documents
+    most_docs: int = 10_000  #: unless it is in more than these, so that no host is too large to be cleaned
     max_removed_pct: int = 60  #: a document that loses a larger share of its words is depleted
     min_left_words: int = 30  #: so is one with fewer words left
 
@@ -43,16 +45,23 @@ def _line_structs(lines: Column) -> Column:
     return F.transform(F.transform(lines, norm), lambda n: F.struct(F.xxhash64(n).alias("h"), (F.length(n) - F.length(F.replace(n, F.lit(" "), F.lit(""))) + 1).alias("n")))
 
 
-def base_features(docs: DataFrame) -> DataFrame:
-    """doc_id, source, th (fingerprint of the text) and the base columns.
+def _with_lines(docs: DataFrame) -> DataFrame:
+    """rid (a number for each row), doc_id, did (the document), source, text, ls (its lines with a word)."""
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    d = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(text)).alias("did"), docs["doc_id"].isNull().alias("none"), F.coalesce(docs["source"].cast("string"), F.lit("\x00")).alias("source"), text.alias("text"))
+    return d.withColumn("ls", F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(WS)) != ""))
+
+
+def line_table(docs: DataFrame) -> DataFrame:
+    """rid, doc_id, did, none, source, base columns and lines (h, n) of each row, written once.
 
     Repeated 3-word windows are found inside the row: windows are hashed (64 bits), sorted with
     their position, and neighbours in that order compared; nothing is shuffled.
     """
-    d = docs.select("doc_id", F.coalesce(docs["source"].cast("string"), F.lit("\x00")).alias("source"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    d = d.select("doc_id", "source", "text", F.xxhash64("text").alias("th"), _words(F.col("text")).alias("w"), F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(WS)) != "").alias("ls"))
+    d = _with_lines(docs).withColumn("w", _words(F.col("text")))
     d = d.select(
-        "doc_id", "source", "th",
+        "rid", "doc_id", "did", "none", "source",
+        _line_structs(F.col("ls")).alias("lines"),
         F.size("w").cast("long").alias("n_words"),
         F.length(F.translate("text", WS, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -64,43 +73,32 @@ def base_features(docs: DataFrame) -> DataFrame:
     same = lambda x, k: F.coalesce(F.get("s", k)["h"] == x["h"], F.lit(False))
     d = d.withColumn("r", F.sort_array(F.transform(F.filter("s", lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"])))
     covered = F.aggregate(F.transform("r", lambda x, k: F.least(F.lit(3), F.coalesce(F.get("r", k + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
-    return d.withColumn("n_repeat_words", covered.cast("long")).drop("s", "r")
+    return materialize(d.withColumn("n_repeat_words", covered.cast("long")).drop("s", "r"), "line_table")
 
 
-def frequent_lines(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
-    """(source, h) of the lines above the limit. Counts are over all documents; both aggregations
-    combine before they shuffle, so a line or host that holds a third of all rows stays cheap."""
-    d = docs.select(F.coalesce(docs["source"].cast("string"), F.lit("\x00")).alias("source"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    d = d.select("source", F.xxhash64("text").alias("th"), F.array_distinct(F.transform(_line_structs(F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(WS)) != "")), lambda s: s["h"])).alias("hs"))
-    hosts = d.select("source", "th").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("host_docs"))
-    lines = d.select("source", "th", F.explode("hs").alias("h")).groupBy("source", "h", "th").agg(F.lit(1).alias("one"))
+def frequent_lines(rows: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
+    """(source, h, docs) of the lines above the limits, from rows with source, none, did and lines. All
+    aggregations combine before they shuffle, so a line or host that holds a third of all rows stays cheap."""
+    hosts = rows.select("source", "none", "did").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("host_docs"))
+    lines = rows.select("source", "none", "did", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h")).distinct()
     counts = lines.groupBy("source", "h").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > limits.min_docs)
-    return counts.join(hosts, "source").where(F.col("docs") > F.col("host_docs") * limits.share).select("source", "h", "docs")
+    over = F.col("docs") > F.least(F.col("host_docs") * limits.share, F.lit(limits.most_docs))
+    # written, so that the joins with it may split a line that very many documents have
+    return materialize(counts.join(hosts, "source").where(over).select("source", "h", "docs"), "frequent_lines")
 
 
 def line_frequency(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
     """One row per document: base columns, n_frequent_lines, n_removed_words, base_failed, kept."""
-    base = base_features(docs)
-    frequent = frequent_lines(docs, limits)
-    d = docs.select("doc_id", F.coalesce(docs["source"].cast("string"), F.lit("\x00")).alias("source"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    hit = (
-        d.select("doc_id", "source", F.xxhash64("text").alias("th"), F.explode(_line_structs(F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(WS)) != ""))).alias("x"))
-        .select("doc_id", "source", "th", F.col("x.h").alias("h"), F.col("x.n").alias("n"))
-        .groupBy("doc_id", "source", "th", "h").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("c"))
-    )
-    # repeated rows double the sums of their common key; n_rows undoes that
-    rows = d.select("doc_id", "source", F.xxhash64("text").alias("th")).groupBy("doc_id", "source", "th").agg(F.count(F.lit(1)).alias("n_rows"))
-    hit = hit.join(frequent.select("source", "h"), ["source", "h"], "left_semi")
-    removed = hit.groupBy("doc_id", "source", "th").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
-    b, r = base.alias("b"), removed.join(rows.alias("m"), [removed["doc_id"].eqNullSafe(F.col("m.doc_id")), removed["source"] == F.col("m.source"), removed["th"] == F.col("m.th")]).select(
-        removed["doc_id"].alias("r_id"), removed["source"].alias("r_source"), removed["th"].alias("r_th"), (F.col("n") / F.col("n_rows")).cast("long").alias("rn"), (F.col("c") / F.col("n_rows")).cast("long").alias("rc")
-    )
-    out = b.join(r, [F.col("b.doc_id").eqNullSafe(F.col("r_id")), F.col("b.source") == F.col("r_source"), F.col("b.th") == F.col("r_th")], "left")
+    rows = line_table(docs)
+    frequent = frequent_lines(rows, limits)
+    lines = rows.select("rid", "source", F.explode("lines").alias("x")).select("rid", "source", "x.h", "x.n")
+    removed = lines.join(frequent.select("source", "h"), ["source", "h"], "left_semi").groupBy("rid").agg(F.sum("n").alias("rn"), F.count(F.lit(1)).alias("rc"))
+    out = rows.drop("lines").join(removed, "rid", "left")
     n, gone = F.col("n_words"), F.coalesce(F.col("rn"), F.lit(0))
     failed = (n < 50) | (100 * F.col("n_repeat_words") > 50 * n)
     depleted = (100 * gone > limits.max_removed_pct * n) | (n - gone < limits.min_left_words)
     return out.select(
-        F.col("b.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         F.coalesce(F.col("rc"), F.lit(0)).cast("long").alias("n_frequent_lines"), gone.cast("long").alias("n_removed_words"),
         failed.alias("base_failed"), (~failed & ~depleted).alias("kept"),
     )
@@ -108,10 +106,11 @@ def line_frequency(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFr
 
 def cleaned_texts(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
     """doc_id and text without its frequent lines (all rows, rejected ones included)."""
-    d = docs.select("doc_id", F.coalesce(docs["source"].cast("string"), F.lit("\x00")).alias("source"), F.coalesce(docs["text"], F.lit("")).alias("text")).withColumn("row", F.expr("uuid()"))
+    d = docs.select(F.expr("uuid()").alias("row"), "doc_id", F.coalesce(docs["source"].cast("string"), F.lit("\x00")).alias("source"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    d = materialize(d, "line_texts")  # a row keeps its number if it is read again
     lines = d.select("row", "doc_id", "source", F.posexplode(F.split("text", "\n")).alias("p", "line"))
     lines = lines.withColumn("h", F.when(F.btrim("line", F.lit(WS)) != "", F.element_at(_line_structs(F.array("line")), 1)["h"]))
-    marked = lines.join(frequent_lines(docs, limits).select("source", "h", F.lit(True).alias("gone")), ["source", "h"], "left").where(F.col("gone").isNull())
+    marked = lines.join(frequent_lines(line_table(docs), limits).select("source", "h", F.lit(True).alias("gone")), ["source", "h"], "left").where(F.col("gone").isNull())
     kept = marked.groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "line"))), lambda x: x["line"]), "\n").alias("text"))
     return d.select("row", "doc_id").join(kept, "row", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
@@ -133,10 +132,11 @@ t2 AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, tri) AS c FROM t),
 t3 AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM t2 WHERE c > 1),
 rep AS (SELECT doc_id, sum(least(3, coalesce(nx - i, 3))) AS n FROM t3 GROUP BY doc_id),
 lines AS (SELECT doc_id, source, text, unnest(ns) AS line FROM g),
-hosts AS (SELECT source, count(DISTINCT text) AS host_docs FROM d GROUP BY source),
+hosts AS (SELECT source, count(DISTINCT coalesce(CAST(doc_id AS varchar), 'text ' || text)) AS host_docs FROM d GROUP BY source),
 freq AS (
   SELECT l.source, l.line FROM lines l JOIN hosts h ON l.source = h.source GROUP BY l.source, l.line, h.host_docs
-  HAVING count(DISTINCT l.text) > 10 AND count(DISTINCT l.text) > h.host_docs * 0.01),
+  HAVING count(DISTINCT coalesce(CAST(l.doc_id AS varchar), 'text ' || l.text)) > 10
+    AND count(DISTINCT coalesce(CAST(l.doc_id AS varchar), 'text ' || l.text)) > least(h.host_docs * 0.01, 10000)),
 gone AS (
   SELECT l.doc_id, count(*) AS c, sum(len(string_split(l.line, ' '))) AS n
   FROM lines l JOIN freq ON l.source = freq.source AND l.line = freq.line GROUP BY l.doc_id),
