@@ -4,8 +4,11 @@
   direction and splits at the sample's median.
 * Index: every row goes to one leaf in each tree.
 * Search: a query keeps all trees' open nodes in one queue, ordered by the largest margin that was
-  crossed on the way, and opens the nearest until the rows in the opened leaves add up to
-  ``search_share`` of all rows (at least ``search_rows``).
+  crossed on the way, and opens the nearest until the rows in the opened leaves add up to a budget.
+* Budget: for ``probes`` of the queries the true neighbours are found by brute force over all rows, each
+  task keeping k rows a probe; the budget is the least that would have opened leaves with ``recall`` of
+  them (at least ``search_rows``). So clustered vectors cost little, and what vectors without structure cost
+  is what the wanted recall takes.
 * Rerank: queries and rows meet by leaf; the cosine of each pair is computed in double precision
   on the original vectors, and a leaf passes on only each query's k best.
 
@@ -13,8 +16,7 @@ Leaves that hold many rows or many queries are cut into a grid of blocks, so no
 an unbounded group, not even for a vector that a third of all rows share. Only the forest and the leaves'
 row counts reach the driver; the sample and ``sample_leaf`` bound both.
 
-Vectors without structure need a large share: the defaults reach a recall of 0.9 and more on
-independent random directions in 64 dimensions (README has measured figures); clustered vectors need far less.
+README has measured figures of recall and of the share of rows that is compared.
 
 Defined results: vectors that are null, zero, of another length than most of the sample, or that hold
 null or non-finite components take no part, nor do null ids; rows with the query's id are its own
@@ -42,7 +44,8 @@ class Forest:
     sample: int = 50_000  #: vectors to grow trees on, at most about
     leaf_rows: int = 512  #: rows aimed at in a leaf
     sample_leaf: int = 8  #: sample vectors in a leaf at least, which bounds the number of leaves
-    search_share: float = 1.1  #: rows in opened leaves (a row counts in each tree) over all rows
+    recall: float = 0.95  #: share of the probes' true neighbours that the budget must reach
+    probes: int = 256  #: queries that are searched exactly to set the budget, at most
     search_rows: int = 2_000
     block: int = 2_048  #: rows, and queries, of a leaf that one task compares at a time
     seed: int = 11
@@ -165,7 +168,7 @@ def nearest(query_id: np.ndarray, q: np.ndarray, vec_id: np.ndarray, x: np.ndarr
 
 def grow(valid: DataFrame, n: int, config: Forest) -> list[Tree]:
     share = min(1.0, config.sample / max(n, 1))
-    at = F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(share * 1_000_000)
+    at = F.shiftrightunsigned(F.xxhash64("vec_id"), 11).cast("double") < share * 2.0**53  # any share, however small
     rows = valid.where(at).orderBy("vec_id").limit(int(config.sample * 1.2)).collect()
     dims = Counter(len(r["v"]) for r in rows).most_common(1)
     x = _unit(np.array([r["v"] for r in rows if len(r["v"]) == dims[0][0]])) if rows else np.zeros((0, 1))
@@ -175,6 +178,45 @@ def grow(valid: DataFrame, n: int, config: Forest) -> list[Tree]:
     return [Tree(x, leaf, np.random.default_rng([config.seed, t])) for t in range(config.trees)]
 
 
+def measured_budget(index: DataFrame, queries: DataFrame, forest: list[Tree], sent, rows: list[np.ndarray], k: int, config: Forest) -> int:
+    """Rows that a query's opened leaves must hold (a row counts in each tree) to reach the wanted recall."""
+    probes = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(config.probes).select("vec_id", "v").collect()
+    if not probes:
+        return config.search_rows
+    ids, x = np.array([p["vec_id"] for p in probes]), _unit(np.array([p["v"] for p in probes]))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, leaves = np.full((len(ids), 0), 0.0), np.zeros((len(ids), 0, len(sent.value)), np.int64)
+        for b in batches:
+            if b.num_rows:
+                fast = x @ _unit(_matrix(b.column(1))).T
+                fast[ids[:, None] == b.column(0).to_numpy()] = -np.inf
+                score = np.concatenate([score, fast], 1)
+                leaves = np.concatenate([leaves, np.broadcast_to(_matrix(b.column(2)), (len(ids), b.num_rows, len(sent.value)))], 1)
+                top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                score, leaves = np.take_along_axis(score, top, 1), np.take_along_axis(leaves, top[:, :, None], 1)
+        probe = np.repeat(np.arange(len(ids)), score.shape[1])
+        found = np.isfinite(score.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(probe[found], pa.int64()), pa.array(score.ravel()[found], pa.float64()), pa.array(list(leaves.reshape(-1, len(sent.value))[found]), pa.list_(pa.int64()))], ["probe", "score", "leaves"])
+
+    def costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for p, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                seen, at = 0, {}
+                for t, leaf in opened(sent.value, rows, x[p], float("inf")):
+                    at[t, leaf] = seen
+                    seen += int(rows[t][leaf])
+                out += [min(at[t, leaf] for t, leaf in enumerate(leaves)) for leaves in wanted]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["cost"])
+
+    near = index.select("vec_id", "v", "leaves").mapInArrow(best, "probe long, score double, leaves array<long>")
+    near = near.withColumn("at", F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("score")))).where(F.col("at") <= k)
+    seen = near.groupBy("probe").agg(F.collect_list("leaves").alias("wanted")).mapInArrow(costs, "cost long").collect()  # k a probe
+    cost = np.sort([r["cost"] for r in seen])
+    return max(config.search_rows, int(cost[min(len(cost) - 1, int(np.ceil(config.recall * len(cost))) - 1)]) + 1) if len(cost) else config.search_rows
+
+
 OUT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -202,7 +244,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, config: Forest = Forest())
     rows = [np.zeros(t.leaves, np.int64) for t in forest]
     for r in leaf.groupBy("tree", "leaf").count().collect():
         rows[r["tree"]][r["leaf"]] = r["count"]
-    budget = max(config.search_rows, config.search_share * n)
+    budget = measured_budget(index, index.where(is_query), forest, sent, rows, k, config)
 
     def open_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
