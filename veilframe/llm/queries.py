@@ -22,7 +22,8 @@ def tokenizer_path() -> str:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+    docs = table(spark, sf_dir, "documents")
+    d = bpe.round_trip(docs, tokenizer_path(), bpe.frequent_words(docs))
     return d.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
