@@ -117,6 +117,61 @@ def test_groups_against_brute_force(spark):
     assert all(x["kept"] == (x["doc_id"] == x["component_id"]) for x in got if x["doc_id"] is not None)
 
 
+def family(r, vocab, at, size):
+    """Near copies of one text, some of them beyond the limit of similarity."""
+    base = r.choices(vocab, k=150)
+    rows = []
+    for i in range(size):
+        t = list(base)
+        for _ in range(r.randint(0, 24)):
+            t[r.randrange(len(t))] = r.choice(vocab)
+        rows.append((at + i, " ".join(t)))
+    return rows
+
+
+@pytest.mark.parametrize("words", [2, 5])
+def test_a_large_family_by_the_shipped_settings(spark, words):
+    r = random.Random(18)
+    vocab = [f"w{i}" for i in range(900)]
+    rows = [x for k, n in enumerate((150, 40, 7)) for x in family(r, vocab, 1000 * k, n)]
+    rows += [(5000 + i, " ".join(r.choices(vocab[:60], k=60))) for i in range(60)] + [(9000, rows[0][1]), (9001, "w1"), (9002, "w1 w2")]
+    r.shuffle(rows)
+    got = near_duplicates.near_duplicates(docs(spark, rows), near_duplicates.MinHash(words=words)).collect()
+    assert sorted(((str(x["doc_id"]), x["n_shingles"], x["component_id"]) for x in got), key=str) == slow_components(rows, words, 80)
+    assert len({x["component_id"] for x in got}) < len(rows) - 20  # some are linked, others are not
+
+
+def test_prefixes_find_all_links_of_open_sets(spark):
+    r = random.Random(28)
+    vocab = [f"w{i}" for i in range(60)]
+    texts = [" ".join(t) for t in (r.choices(vocab, k=r.randint(3, 40)) for _ in range(80))]
+    for t in list(texts):
+        w = t.split()
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = r.choice(vocab)
+        texts.append(" ".join(w[: len(w) - r.randint(0, 2)]))
+    sets = [near_duplicates.shingle_set(t, 2) for t in texts]
+    import zstandard
+
+    z = zstandard.ZstdCompressor()
+    packed = spark.createDataFrame([(i, bytearray(z.compress(t.encode()))) for i, t in enumerate(texts)], "sid long, z binary")
+    opened = spark.createDataFrame([(i, i % 150) for i in range(len(texts))], "sid long, comp long")
+    config = near_duplicates.MinHash(words=2)
+    pairs = {tuple(sorted(p)) for p in near_duplicates.prefix_pairs(near_duplicates.prefixes(opened, packed, config), config).collect()}
+    links = {(i, j) for j in range(len(sets)) for i in range(j) if i % 150 != j % 150 and near_duplicates.similar(sets[i], sets[j], 80)}
+    assert len(links) > 20 and links <= pairs and len(pairs) < len(sets) ** 2 / 8
+
+
+def test_one_id_with_two_texts_and_null_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, b), (2, b + " more"), (3, a + " more"), (None, a + " again"), (None, "x " * 30), (None, "x " * 30)]
+    got = near_duplicates.near_duplicates(docs(spark, rows), near_duplicates.MinHash(words=2)).collect()
+    assert sorted((str(x["doc_id"]), x["component_id"], x["kept"]) for x in got if x["doc_id"]) == [("1", 1, True), ("1", 1, True), ("2", 1, False), ("3", 1, False)]
+    assert sorted(str((x["component_id"], x["kept"])) for x in got if x["doc_id"] is None) == ["(1, False)", "(None, True)", "(None, True)"]
+    kept = near_duplicates.keep_one(docs(spark, rows), near_duplicates.MinHash(words=2)).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == ["1", "1", "None", "None"]
+
+
 def test_groups_odd_inputs(spark):
     assert near_duplicates.near_duplicates(docs(spark, ODD)).count() == len(ODD)
     assert near_duplicates.near_duplicates(docs(spark, [])).count() == 0
@@ -135,8 +190,9 @@ def test_components(spark):
             up[a] |= up[b]
             for x in list(up[a]):
                 up[x] = up[a]
-    got = {x["a"]: x["b"] for x in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert {k: got.get(k, k) for k in up} == {k: min(v) for k, v in up.items()}
+    for in_one_task in (1000, 0):
+        got = {x["a"]: x["b"] for x in components.components(spark.createDataFrame(links, "a long, b long"), in_one_task=in_one_task).collect()}
+        assert {k: got.get(k, k) for k in up} == {k: min(v) for k, v in up.items()}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -170,6 +226,32 @@ def test_neighbours_against_brute_force(spark):
     assert [v for v, _ in got[300]] == [301, 302, 303, 304, 305]
 
 
+def test_budget_follows_the_vectors(spark):
+    r = np.random.default_rng(2)
+    middle = r.normal(size=(40, 16)) * 5
+    near = middle[np.arange(2000) % 40] + r.normal(size=(2000, 16)) * 0.1
+    budgets = []
+    real = neighbours.measured_budget
+    for x in (near, r.normal(size=(2000, 16))):
+        d = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(len(x))], "vec_id long, embedding array<double>")
+        neighbours.measured_budget = lambda *a: budgets.append(real(*a)) or budgets[-1]
+        try:
+            got = neighbours.search(d, F.col("vec_id") % 50 == 0, 5, neighbours.Forest(leaf_rows=32, search_rows=100)).collect()
+        finally:
+            neighbours.measured_budget = real
+        s = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (x[::50] / np.linalg.norm(x[::50], axis=1, keepdims=True)).T
+        s[np.arange(0, 2000, 50), np.arange(40)] = -9
+        fifth = {50 * q: np.sort(s[:, q])[-5] for q in range(40)}
+        assert sum(g["score"] >= fifth[g["query_id"]] - 1e-12 for g in got) >= 0.9 * 200
+    assert budgets[0] < 0.5 * budgets[1]
+
+
+def test_samples_of_any_share(spark):
+    ids = spark.range(10_000_000).select(F.col("id").alias("vec_id"))
+    for share, low, high in ((1.0, 10_000_000, 10_000_000), (0.01, 98_000, 102_000), (8e-7, 2, 20)):
+        assert low <= ids.where(neighbours.in_sample(share)).count() <= high
+
+
 def test_neighbours_odd_inputs(spark):
     t = "vec_id long, embedding array<float>, label int"
     assert neighbours.search(spark.createDataFrame([], t), F.col("vec_id") % 50 == 0).count() == 0

@@ -2,6 +2,7 @@
 
 import collections
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -41,3 +42,36 @@ def test_run_and_registration(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
     assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+ODD = [(1, None), (2, ""), (None, "null id " * 20), (None, None), (3, "repeated row words " * 30), (3, "repeated row words " * 30), (3, "another text under one id " * 30), (4, "é中文😀"), (5, "x" * 50_000), (6, " \n\t ")]
+NAMES = ["doc_id", "text", "lang", "source", "n_chars", "gone_id", "gone_th", "rejected_id", "_did", "span_did", "span_th", "span_list", "sid", "th", "my col"]
+
+
+def test_stages_take_odd_rows_and_clashing_names(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"`{n}` string" for n in NAMES[5:])
+    good = [(100 + i, f"Clean sentence number {i} about rivers, hills and {i * 7} towns. " * (3 + i % 5)) for i in range(60)]
+    make = lambda rows: spark.createDataFrame([(i, t, "en", None, len(t or ""), *["clash"] * (len(NAMES) - 5)) for i, t in rows], schema)
+    for rows in (ODD + good, []):
+        docs = make(rows)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            got = out.collect()
+            if name != "packing":
+                assert out.columns == NAMES and all(r["my col"] == "clash" for r in got)
+                docs = spark.createDataFrame(got, schema)
+        assert rows or not got
+    single = corpus_pipeline.minhash(spark, make(ODD), SF).collect()
+    assert len(single) == len(ODD)  # nothing here is a near copy of another document; equal rows stay together
+
+
+def test_key_of_the_pipeline(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(1, "write to ann.lee@example.com now")], "doc_id long, text string")
+    plain = corpus_pipeline.pseudonyms(spark, docs, SF).first()["text"]
+    (tmp_path / "key").write_bytes(bytes(range(40)))
+    monkeypatch.setenv(pii.KEY_FILE, str(tmp_path / "key"))
+    own = corpus_pipeline.pseudonyms(spark, docs, SF).first()["text"]
+    assert plain != own != "write to ann.lee@example.com now" and pii.restore(own, bytes(range(40))) == "write to ann.lee@example.com now"
+    (tmp_path / "key").write_bytes(b"short")
+    with pytest.raises(ValueError):
+        pii.key_from_environment()

@@ -91,6 +91,15 @@ def release(spark: SparkSession, *done: DataFrame) -> None:
         _delete(*found)
 
 
+#: Row keys that may be broadcast (16 bytes each); beyond, joins shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def keyed(docs: DataFrame) -> list[Column]:
+    """doc_id, and th, which tells texts of one doc_id apart."""
+    return [docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"].cast("string")).alias("th")]
+
+
 def fresh(name: str, *frames: DataFrame) -> str:
     """A column name that none of the frames has, in any case of letters."""
     taken = {c.lower() for df in frames for c in df.columns}

@@ -35,14 +35,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, parts, release, ship
+from .common import BROADCAST_IDS, fresh, keyed, materialize, parts, release, ship
 from .components import components
 
-#: Ids that may be broadcast (8 bytes each); beyond, joins shuffle.
-BROADCAST_IDS = 1_000_000
 CACHE_WORDS = 200_000
 
 
@@ -125,11 +123,6 @@ def fingerprint(x: np.ndarray) -> tuple[int, int]:
     return int(h[0]), int(h[1])
 
 
-def _keyed(docs: DataFrame) -> list[Column]:
-    """doc_id, and th, which tells texts of one doc_id apart."""
-    return [docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"].cast("string")).alias("th")]
-
-
 def signatures(docs: DataFrame, config: MinHash) -> DataFrame:
     """doc_id, th, n (set size), h1, h2 (fingerprint of the set), u, v (bands; null for empty sets)."""
     ship(docs.sparkSession)
@@ -149,7 +142,7 @@ def signatures(docs: DataFrame, config: MinHash) -> DataFrame:
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in (n, h1, h2)), pa.array(u, longs), pa.array(v, longs)], ["doc_id", "th", "n", "h1", "h2", "u", "v"])
 
-    return docs.select(*_keyed(docs), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, th long, n long, h1 long, h2 long, u array<long>, v array<long>")
+    return docs.select(*keyed(docs), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, th long, n long, h1 long, h2 long, u array<long>, v array<long>")
 
 
 def _by_size(df: DataFrame, n: int) -> DataFrame:
@@ -160,7 +153,7 @@ def _by_size(df: DataFrame, n: int) -> DataFrame:
 def _packed_sets(docs: DataFrame, sets: DataFrame, involved: DataFrame, config: MinHash) -> DataFrame:
     """sid and the compressed text of one document of each involved set, found by doc_id and text hash."""
     wanted = materialize(sets.join(involved, "sid", "left_semi").select("sid", F.col("one.doc_id").alias("wanted_id"), F.col("one.th").alias("wanted_th"), "h1", "h2"), "wanted")
-    rows = docs.select(*_keyed(docs), docs["text"].cast("string").alias("text"))
+    rows = docs.select(*keyed(docs), docs["text"].cast("string").alias("text"))
     found = rows.join(_by_size(wanted, wanted.count()), F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.col("th") == F.col("wanted_th")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,5 +302,5 @@ def keep_one(docs: DataFrame, config: MinHash = MinHash()) -> DataFrame:
     rows, read = labelled(docs, config)
     gone = materialize(rows.where("NOT kept").select(F.col("doc_id").alias(doc_id), F.col("th").alias(th)).distinct(), "near_copies")
     release(docs.sparkSession, *read)
-    at, hashed = _keyed(docs)
+    at, hashed = keyed(docs)
     return docs.join(_by_size(gone, gone.count()), at.eqNullSafe(F.col(doc_id)) & (hashed == F.col(th)), "left_anti")

@@ -32,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, ship
@@ -166,10 +166,13 @@ def nearest(query_id: np.ndarray, q: np.ndarray, vec_id: np.ndarray, x: np.ndarr
     return query_id[i[good]], v[good], score[good]
 
 
+def in_sample(share: float) -> Column:
+    """Whether a row is in a sample of such a share, however small, by its id's hash."""
+    return F.shiftrightunsigned(F.xxhash64("vec_id"), 11).cast("double") < share * 2.0**53
+
+
 def grow(valid: DataFrame, n: int, config: Forest) -> list[Tree]:
-    share = min(1.0, config.sample / max(n, 1))
-    at = F.shiftrightunsigned(F.xxhash64("vec_id"), 11).cast("double") < share * 2.0**53  # any share, however small
-    rows = valid.where(at).orderBy("vec_id").limit(int(config.sample * 1.2)).collect()
+    rows = valid.where(in_sample(min(1.0, config.sample / max(n, 1)))).orderBy("vec_id").limit(int(config.sample * 1.2)).collect()
     dims = Counter(len(r["v"]) for r in rows).most_common(1)
     x = _unit(np.array([r["v"] for r in rows if len(r["v"]) == dims[0][0]])) if rows else np.zeros((0, 1))
     if not len(x):

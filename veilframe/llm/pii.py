@@ -18,11 +18,13 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import os
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from math import isqrt
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +34,7 @@ from .common import ship
 KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date")
 #: For tests and queries; an owner of real data passes a secret key.
 DEMO_KEY = b"veilframe demonstration key, not secret"
+KEY_FILE = "VEILFRAME_KEY_FILE"
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
 
@@ -316,6 +319,17 @@ def restore(text: str, key: bytes = DEMO_KEY) -> str:
     return replace(text, find(text, key, -1))
 
 
+def key_from_environment() -> bytes:
+    """The key in the file that VEILFRAME_KEY_FILE names, read on the driver; DEMO_KEY where it is unset."""
+    path = os.environ.get(KEY_FILE)
+    if not path:
+        return DEMO_KEY
+    key = Path(path).read_bytes()
+    if len(key) < 32:
+        raise ValueError(f"{KEY_FILE}: a key has 32 bytes at least")
+    return key
+
+
 def pseudonymize(docs: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
     """docs with the values in its column text replaced; n_chars (if there) follows, other columns stay."""
     ship(docs.sparkSession)

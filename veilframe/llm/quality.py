@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, ship
+from .common import BROADCAST_IDS, fresh, keyed, materialize, release, ship
 
 #: Byte classes whose shares are features; fixed values.
 CLASSES = (
@@ -72,15 +72,15 @@ def statistics(text: str) -> list[float]:
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and its statistics, x."""
+    """doc_id, th (which tells texts of one doc_id apart) and the text's statistics, x."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [statistics(t or "") for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
+            x = [statistics(t or "") for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "th", "x"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select(*keyed(docs), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, th long, x array<double>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -181,22 +181,29 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", config:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % config.hold == 0, F.lit(False))
-    return stats.mapInArrow(run, "doc_id long, score double").select("doc_id", held.alias("held_out"), "score")
+    return stats.select("doc_id", "x").mapInArrow(run, "doc_id long, score double").select("doc_id", held.alias("held_out"), "score")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3, config: Config = Config()) -> DataFrame:
-    """The rows of docs whose score is at least ``least``, all columns as they were."""
+    """The rows of docs whose score is at least ``least``, all columns as they were, whatever their names.
+
+    The statistics of each text are computed once; the rows that go are told by doc_id (which may be null) and
+    by their text's hash. Null and empty texts are scored like others, repeated rows go or stay together,
+    and without labels all rows stay."""
     stats = materialize(document_statistics(docs), "quality_stats")
     model = fit(stats, labels, "quality", config)
-    release(docs.sparkSession, stats)
     if model is None:
+        release(docs.sparkSession, stats)
         return docs
-    names, schema = docs.columns, docs.schema
-    at = names.index("text")
+    doc_id, th = fresh("rejected_id", docs), fresh("rejected_th", docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([statistics(t or "") for t in b.column(at).to_pylist()]).reshape(b.num_rows, N_FEATURES)
-            yield b.filter(pa.array(model.score(x) >= least))
+            bad = model.score(_matrix(b.column(2))) < least if b.num_rows else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], [doc_id, th]).filter(pa.array(bad))
 
-    return docs.mapInArrow(run, schema)
+    rejected = materialize(stats.mapInArrow(run, f"`{doc_id}` long, `{th}` long").distinct(), "rejected")
+    release(docs.sparkSession, stats)
+    few = F.broadcast(rejected) if rejected.count() <= BROADCAST_IDS else rejected
+    at, hashed = keyed(docs)
+    return docs.join(few, at.eqNullSafe(F.col(doc_id)) & (hashed == F.col(th)), "left_anti")
