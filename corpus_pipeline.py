@@ -1,4 +1,14 @@
-"""A corpus pipeline of training-data operators; each stage works on all that its predecessor kept."""
+"""A corpus pipeline of training-data operators; each stage works on all that its predecessor kept.
+
+Every stage takes null, empty and repeated rows, empty tables and further columns of any name: null and empty
+texts are scored by the classifier like others, are no near copies of anything, lose nothing and hold
+nothing private, and have no words to pack (one row, no bin). Rows that are equal share every decision;
+rows of one doc_id with different texts are different documents. All stages but the last give the columns of
+documents back in their order; n_chars follows the text where a stage changes it.
+
+The pseudonyms' key is read from the file named in VEILFRAME_KEY_FILE (32 bytes at least). Only where that is
+unset, as in tests, a published key is used, with which anyone could undo them.
+"""
 
 from __future__ import annotations
 
@@ -25,7 +35,7 @@ def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data becomes pseudonyms of the same format."""
-    return pii.pseudonymize(docs)
+    return pii.pseudonymize(docs, pii.key_from_environment())
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
