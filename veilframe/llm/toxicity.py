@@ -20,6 +20,7 @@ gives an empty table.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import unicodedata
@@ -145,6 +146,18 @@ def _core(token: str) -> str:
     return t if t[:1] not in "$!|+" or t[1:2].isalpha() else t.lstrip(PUNCTUATION)
 
 
+_decoders: dict[bytes, Decoder] = {}
+
+
+def _decoder(characters: np.ndarray) -> Decoder:
+    """A worker's decoder for these probabilities; later tasks find what earlier ones have decoded."""
+    key = hashlib.blake2b(np.ascontiguousarray(characters).tobytes()).digest()
+    if key not in _decoders:
+        _decoders.clear()
+        _decoders[key] = Decoder(characters)
+    return _decoders[key]
+
+
 def words_of(text: str, decoder: Decoder) -> set[str]:
     """Lower-case words of the restored text; of disguised tokens the likeliest spellings."""
     low = text.lower()
@@ -245,7 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, config: Config = Config()) -> Model
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(known), "doc_id").select("doc_id", "text", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(characters)
+        decoder = _decoder(characters)
         for b in batches:
             words = [list(words_of(t or "", decoder)) for t in b.column(1).to_pylist()]
             fold = [hash(i) % 2 for i in b.column(0).to_pylist()]
@@ -292,7 +305,7 @@ def score(docs: DataFrame, labels: DataFrame, config: Config = Config()) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        decoder = Decoder(m.characters) if m else None
+        decoder = _decoder(m.characters) if m else None
         for b in batches:
             s = [score_text(t or "", m, decoder) if m else 0.5 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
