@@ -88,3 +88,16 @@ def test_streamed_run_and_its_exits(spark, world, capsys, monkeypatch):
     assert cli.run(["resume", *run], spark, 2000) == 4  # final
     made = spark.read.parquet(f"{tmp}/run/target")
     assert made.count() == 60 and made.where("email LIKE '%example.com'").isEmpty()
+
+
+def test_constraints_from_a_database(spark, world, capsys):
+    import sqlite3
+
+    tmp, base = world
+    for body, code, what in (("id INTEGER PRIMARY KEY, email TEXT, other INT", 0, ""), ("id INTEGER PRIMARY KEY, email TEXT UNIQUE, other INT", 1, "unique column"), ("id INT, email TEXT, other INTEGER PRIMARY KEY", 1, "key columns")):
+        (tmp / "base.db").unlink(missing_ok=True)
+        with sqlite3.connect(tmp / "base.db") as c:
+            c.execute(f"CREATE TABLE people ({body})")
+        c.close()
+        now = [x if x != f"{tmp}/constraints" else f"{tmp}/base.db" for x in base]
+        assert cli.run(["mask", *now], spark) == code and what in capsys.readouterr().err

@@ -20,7 +20,7 @@ from .operators.paging import RefusedError
 from .plans import plan as plans
 from .plans.approval import Record, Store, load_trust
 from .plans.registry import GateError, Registry, preflight
-from .sources import readers
+from .sources import catalog, readers
 from .streaming.apply import Binding, Budget, Gates, Run
 
 VERSION = "0.1"
@@ -48,7 +48,7 @@ def _arguments() -> argparse.ArgumentParser:
         c.add_argument("--valid-for", type=int, default=24 * 3600)
         c.add_argument("--apply", action="store_true")
         c.add_argument("--out")
-        c.add_argument("--constraints", default="", metavar="JSON")
+        c.add_argument("--constraints", default="", metavar="FILE", help="JSON, or the SQLite database that the tables come from")
         if name in ("stream", "resume"):
             c.add_argument("--run-folder", required=True)
             c.add_argument("--run-id", required=True)
@@ -74,7 +74,7 @@ def _plan(spark: SparkSession, a: argparse.Namespace):
     keys: dict[str, tuple[str, ...]] = {}
     for t, c in _pairs(a.key_column):
         keys[t] = (*keys.get(t, ()), c)
-    registry = plans.from_file(a.constraints, keys, runtime.tables)
+    registry = catalog.scoped(catalog.sqlite(a.constraints), keys) if catalog.is_sqlite(a.constraints) else plans.from_file(a.constraints, keys, runtime.tables)
     source = {t: readers.parquet(spark, a.source, t, tuple(runtime.tables)) for t in runtime.tables}
     reviewed: dict[str, dict[str, str]] = {}
     for t, c in _pairs(a.reviewed):

@@ -63,12 +63,16 @@ def schema_issues(source: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def constraint_issues(target: DataFrame, registry: Registry, table: str, parents: dict[str, DataFrame] | None = None) -> DataFrame:
-    """What the registry promises and the target breaks: unknown constraints, NULL or repeated keys and unique
-    groups, whole foreign keys without a parent (for parents that are given; the table may be its own)."""
+    """What the registry promises and the target breaks: unknown constraints, NULL in required columns, repeated
+    unique groups, whole foreign keys without a parent (for parents that are given; the table may be its own)."""
     spark, t = target.sparkSession, registry.table(table)
     if not t.covered:
         return spark.createDataFrame([("fail", "incomplete_coverage", "", 1)], ISSUES)
     out = spark.createDataFrame([], ISSUES)
+    if t.required:  # all columns in one pass
+        null = lambda c: F.sum(F.col(f"`{c}`").isNull().cast("long"))
+        each = [F.struct(F.lit("fail").alias("status"), F.lit("null_value").alias("code"), F.lit(c).alias("column"), F.coalesce(null(c), F.lit(0)).alias("n")) for c in t.required]
+        out = out.unionByName(target.agg(F.array(*each).alias("x")).select(F.inline("x")))
     for group in t.unique:
         whole = target.where(" AND ".join(f"`{c}` IS NOT NULL" for c in group))
         twice = whole.groupBy(*[F.col(f"`{c}`") for c in group]).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("n"))

@@ -115,7 +115,8 @@ def recheck(plan: Plan, again: Plan) -> None:
 
 def from_file(path: str, keys: dict[str, tuple[str, ...]], tables: list[str]) -> Registry:
     """A registry declared in JSON: {"tables": {name: {"keys": [...], "unique": [[...]], "foreign_keys":
-    [{"columns": [...], "parent": name, "parent_columns": [...]}], "checks": [text], "triggers": false}}}.
+    [{"columns": [...], "parent": name, "parent_columns": [...]}], "checks": [text], "triggers": false,
+    "required": [...]}}}.
 
     Tables that the file doesn't name stay uncovered, so every gate refuses them."""
     try:

@@ -28,6 +28,7 @@ class TableInfo:
     indexes: tuple[tuple[str, ...], ...] = ()
     triggers: bool = False
     covered: bool = False  #: whether all kinds of constraint could be read; if not, nothing is taken as absent
+    required: tuple[str, ...] = ()  #: columns beside the keys that hold no NULL
 
 
 @dataclass(frozen=True)
@@ -47,13 +48,13 @@ def table_info(name: str, declared: dict | None, keys: tuple[str, ...] = ()) ->
     """A table as it is declared; undeclared ones are uncovered. Keys given twice must agree."""
     if declared is None:
         return TableInfo(name, keys)
-    unknown = set(declared) - {"keys", "unique", "foreign_keys", "checks", "indexes", "triggers"}
+    unknown = set(declared) - {"keys", "unique", "foreign_keys", "checks", "indexes", "triggers", "required"}
     own = tuple(declared.get("keys", keys))
     if unknown or keys and own != keys:
         raise GateError("invalid: constraint file")
     foreign = tuple(ForeignKey(tuple(k["columns"]), k["parent"], tuple(k["parent_columns"])) for k in declared.get("foreign_keys", ()))
     groups = {x: tuple(map(tuple, declared.get(x, ()))) for x in ("unique", "indexes")}
-    return TableInfo(name, own, groups["unique"], foreign, tuple(declared.get("checks", ())), groups["indexes"], bool(declared.get("triggers", False)), True)
+    return TableInfo(name, own, groups["unique"], foreign, tuple(declared.get("checks", ())), groups["indexes"], bool(declared.get("triggers", False)), True, tuple(declared.get("required", ())))
 
 
 def preflight(registry: Registry, table: str, columns: list[str]) -> None:
