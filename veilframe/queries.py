@@ -8,6 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import expected
 from .fixtures import people_sql
 from .functions.dialect import DUCK, SPARK
 from .functions.digest import MaskPlan
@@ -277,6 +278,9 @@ ORACLES: dict[str, str] = {
     "mask_refusals": "SELECT 'email' AS \"column\", 'invalid' AS code, count(*) AS n FROM customer WHERE c_custkey % 3 = 0 HAVING count(*) > 0",
     "mask_mapping": f"SELECT sha256(nickname) AS fingerprint, min_by(nickname_masked, id) AS masked FROM ({_NICK}) m_ WHERE nickname IS NOT NULL GROUP BY 1",
     "detect_evidence": detection.evidence_sql(DUCK, _P, DETECTED),
+    "detect_addresses": expected.evidence_of(_P, ("address", "city")),
+    "detect_verdicts": expected.verdicts_of(_P),
+    "detect_evaluation": expected.evaluation_of(_P),
     "count_rows": "SELECT count(*) AS n FROM orders",
     "sample_values": "SELECT value, (SELECT count(DISTINCT o_orderpriority) > 3 FROM orders) AS truncated FROM (SELECT DISTINCT o_orderpriority AS value FROM orders WHERE o_orderpriority IS NOT NULL ORDER BY 1 LIMIT 3) s_",
     "keyset_page": "SELECT conv_id, turn, role, row_number() OVER (ORDER BY conv_id, turn) > 20 AS ahead FROM conversations WHERE (conv_id, turn) > (3, 0) ORDER BY conv_id, turn LIMIT 21",
