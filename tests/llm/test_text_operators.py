@@ -6,7 +6,9 @@ import gzip
 import hashlib
 import random
 import re
+import time
 import urllib.parse
+import zlib
 
 import numpy as np
 import pytest
@@ -129,6 +131,74 @@ def test_base_finds():
         assert secrets.find(text)[0] == slow_base(text)
 
 
+def decoded_everywhere(text):
+    """All finds by brute force: every decoder over the whole of every layer, base64 from every start, compressed
+    data at every byte, until nothing new appears. A layer is a list of (character, begin, end)."""
+    out, seen, work = set(), set(), [[(c, i, i + 1) for i, c in enumerate(text)]]
+    as_bytes = lambda raw, i, j: [(chr(x), i, j) for x in raw]
+    while work:
+        layer = work.pop()
+        if tuple(layer) in seen:
+            continue
+        seen.add(tuple(layer))
+        s = "".join(c for c, _, _ in layer)
+        out.update((k, layer[i][1], layer[j - 1][2]) for k, i, j in slow_base(s))
+        for code in ("%([0-9A-Fa-f]{2})", r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})"):
+            new, at = [], 0
+            for m in re.finditer(code, s):
+                new += layer[at : m.start()] + [(chr(int(m[1] or m[2], 16)), layer[m.start()][1], layer[m.end() - 1][2])]
+                at = m.end()
+            work += [new + layer[at:]] if new else []
+        for lines in (r"[A-Za-z0-9+/_-]{16,}={0,2}", r"(?:[A-Za-z0-9+/_-]{16,}\n)(?:[A-Za-z0-9+/_-]{4,}\n)*[A-Za-z0-9+/_-]{4,}={0,2}"):
+            for m in re.finditer(lines, s):
+                run = [x for x in layer[m.start() : m.end()] if x[0] not in "\n="]
+                for k in range(len(run) - 15):
+                    body = "".join(c for c, _, _ in run[k:]).replace("-", "+").replace("_", "/")
+                    raw = base64.b64decode(body[: len(body) - (len(body) % 4 == 1)] + "==" * 2)
+                    mine = [(chr(x), run[k + i * 8 // 6][1], run[k + (i * 8 + 7) // 6][2]) for i, x in enumerate(raw)]
+                    if k < 4:
+                        work.append(mine)
+                        for i in range(len(raw)):
+                            if raw.startswith(b"\x1f\x8b\x08", i):
+                                work.append(as_bytes(zlib.decompressobj(31).decompress(raw[i:]), mine[i][1], run[-1][2]))
+                    else:
+                        out.update((k2, mine[i][1], mine[j - 1][2]) for k2, i, j in slow_base("".join(c for c, _, _ in mine)))
+    return out
+
+
+def test_layers_against_brute_force():
+    r = random.Random(8)
+    wraps = [
+        lambda x: base64.b64encode(x).decode(), lambda x: base64.urlsafe_b64encode(x).decode().rstrip("="), lambda x: base64.b64encode(gzip.compress(x, mtime=0)).decode(),
+        lambda x: base64.b64encode(b"\x00\xfe" * r.randint(0, 3) + gzip.compress(x, mtime=0)).decode(), lambda x: "\n".join(re.findall(".{1,24}", base64.b64encode(x).decode())),
+        lambda x: "".join(f"%{c:02x}" if r.random() < 0.5 else chr(c) for c in x if c < 128), lambda x: "".join(f"\\u{c:04x}" if r.random() < 0.5 else chr(c) for c in x if c < 128),
+    ]
+    covered = lambda a, many: any(k == a[0] and i <= a[1] and a[2] <= j for k, i, j in many)
+    n = 0
+    for _ in range(250):
+        parts = []
+        for _ in range(r.randint(1, 2)):
+            x = r.choice([f"password=abcdefgh{r.randint(0, 9999)}", "AKIA" + "B7" * r.randint(6, 9), "deadbeef" * 4, "nothing to see"])
+            for _ in range(r.randint(1, 3)):
+                x = r.choice(wraps)(x.encode())
+            parts.append(r.choice(["", "k=", "a/", "x", "xy", "xyz", "the key: ", "é "]) + x + r.choice(["", "-", "/", "q", "qr", "qrs", ". ", "\n"]))
+        text = " ".join(parts)
+        got, want = set(secrets.find(text)[1]), decoded_everywhere(text)
+        lost, made_up = [w for w in want if not covered(w, got)], [g for g in got if not any(covered(w, [g]) for w in want)]
+        assert not lost and not made_up, (text, lost, made_up)
+        n += len(want) > 0
+    assert n > 150
+
+
+def test_long_runs_take_linear_time():
+    r = random.Random(9)
+    blob = base64.b64encode(r.randbytes(600_000)).decode()
+    for text in (blob, "\n".join(re.findall(".{1,76}", blob)), blob[:-1] + "/" + base64.b64encode(SECRET.encode()).decode()):
+        start = time.monotonic()
+        found = secrets.find(text)[1]
+        assert time.monotonic() - start < 20 and bool(found) == (text[-40:] != blob[-40:] and "\n" not in text)
+
+
 def test_cycles_end_and_odd_inputs(spark):
     assert secrets.find("%2541" * 50 + "\\u005cu0041" * 20)[2] < 10
     assert {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(docs(spark, [(1, None), (2, f"x {SECRET}")])).collect()} == {1: "", 2: f"assign:2:{2 + len(SECRET)}"}

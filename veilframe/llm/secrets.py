@@ -1,7 +1,8 @@
 """Secret scans with a recursive decoding worklist.
 
 The whole text is scanned by the base patterns. Then a worklist unwraps layers: percent-encoded characters,
-\\uXXXX and \\xXX escapes (both decoded within all that a find may consist of around them), base64 (standard and URL-safe) and, inside base64, gzip, zlib or bzip2 data.
+\\uXXXX and \\xXX escapes (both decoded within all that a find may consist of around them), base64 (standard and
+URL-safe, also beside other characters, also broken into lines) and, inside base64, gzip, zlib or bzip2 data.
 Each decoded layer is scanned again and searched for further layers, until nothing new appears; a
 layer with the content and the origin of one seen before isn't unwrapped again, which ends cycles (equal
 content from elsewhere is: each occurrence has its own spans and counts as a layer). Each layer knows, for
@@ -18,13 +19,12 @@ counted in ``n_oversize``: only an encoded run longer than the overlap may be cu
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import re
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 
 import pyarrow as pa
@@ -47,9 +47,11 @@ _HINT = re.compile(r"[:=]")
 
 #: What a find may consist of before and after it is decoded; an encoded character is decoded in its whole run,
 #: so a find that is encoded only in part is seen too.
-_RUN = re.compile(r"""[A-Za-z0-9_.~+/=:%\\"'\x20-]+""")
+#: Lines that may be one base64 run stay together.
+_RUN = re.compile(r"""[A-Za-z0-9_.~+/=:%\\"'\x20-]+(?:(?<=[A-Za-z0-9+/_%\\-]{16})\r?\n(?=[A-Za-z0-9+/_%\\-]{4})[A-Za-z0-9_.~+/=:%\\"'\x20-]+)*""")
 _ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_BASE64)
+_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+(?:\r?\n[A-Za-z0-9+/_-]{4,}+)+={0,2}" % MIN_BASE64)
 _SIGN = re.compile(r"[/_-]")
 _ONE_PERCENT = re.compile(r"%([0-9A-Fa-f]{2})")
 _ENCODED = re.compile("|".join(f"(?:{p.pattern})" for p in (_ONE_PERCENT, _ONE_ESCAPE, _BASE64)))
@@ -83,6 +85,9 @@ class Layer:
         a, b = bisect_right(self.starts, i) - 1, bisect_right(self.starts, j - 1) - 1
         return self.begin[a], self.end[b]
 
+    def origin(self) -> tuple:
+        return tuple(map(tuple, (self.starts, self.begin, self.end)))
+
 
 def _layer(pieces: list[tuple[bytes, int, int]], up: Layer) -> Layer | None:
     """A layer from bytes and the spans of the layer above that they came from; what isn't UTF-8 is read byte by byte."""
@@ -121,24 +126,37 @@ def _readable(text: str) -> bool:
 
 
 _MAGIC = {b"\x1f\x8b": lambda: zlib.decompressobj(31), b"\x78": lambda: zlib.decompressobj(15), b"BZh": bz2.BZ2Decompressor}
+#: What tells compressed data from chance, wherever it starts.
+_INSIDE = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY")
+
+
+def _next(data: bytes, at: int) -> int:
+    return m.start() if (m := _INSIDE.search(data, at)) else len(data)
+
+
+def _packed(data: bytes) -> bool:
+    return data.startswith(tuple(_MAGIC)) or _next(data, 0) < len(data)
 
 
 def _members(chunks: Iterable[bytes]) -> Iterator[bytes]:
-    """Unfolded bytes of all members in a row; bytes that can't be unfolded come as they are."""
+    """Unfolded bytes of all members, beside or after other bytes; bytes that can't be unfolded come as they are."""
     d = None
     for data in chunks:
         while data:
             if d is None:
                 if (make := next((m for magic, m in _MAGIC.items() if data.startswith(magic)), None)) is None:
-                    yield data
-                    break
+                    at = _next(data, 1)
+                    yield data[:at]
+                    data = data[at:]
+                    continue
                 d = make()
             try:
                 out = d.decompress(data, STEP)
             except (zlib.error, OSError, EOFError, ValueError):
-                d = None
-                yield data
-                break
+                d, at = None, _next(data, 1)
+                yield data[:at]
+                data = data[at:]
+                continue
             while True:
                 if out:
                     yield out
@@ -151,9 +169,9 @@ def _members(chunks: Iterable[bytes]) -> Iterator[bytes]:
                 try:
                     out = d.decompress(data, STEP)
                 except (zlib.error, OSError, EOFError, ValueError):
-                    d = None
-                    yield data
-                    data = b""
+                    d, at = None, _next(data, 1) if data else 0
+                    yield data[:at]
+                    data = data[at:]
                     break
 
 
@@ -161,7 +179,7 @@ def _unfold(raw: bytes) -> tuple[Iterable[bytes], bool]:
     """The innermost bytes of compressed data, and whether they are too many for one layer."""
     seen: set[bytes] = set()
     data = raw
-    while data.startswith(tuple(_MAGIC)) and data not in seen:  # compressed data inside compressed data
+    while _packed(data) and data not in seen:  # compressed data inside compressed data
         seen.add(data)
         stream, got = _members([data]), bytearray()
         for c in stream:
@@ -172,7 +190,7 @@ def _unfold(raw: bytes) -> tuple[Iterable[bytes], bool]:
             data = bytes(got)
             continue
         head, heads, stream = bytes(got), set(), chain([bytes(got)], stream)
-        while head.startswith(tuple(_MAGIC)) and head not in heads:
+        while _packed(head) and head not in heads:
             heads.add(head)
             stream = _members(stream)
             head = next(stream, b"")
@@ -194,17 +212,70 @@ def _parts(stream: Iterable[bytes]) -> Iterator[bytes]:
         yield bytes(held)
 
 
-def _decoded_base64(token: str, exact: bool = True) -> bytes | None:
-    """The token's bytes; unless exact, a character too many at its end is left out."""
+def _decoded_base64(token: str) -> bytes:
+    """The token's bytes; a character too many at its end is left out."""
     body = token.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
-        if exact:
-            return None
         body = body[:-1]
-    try:
-        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+class Based(Layer):
+    """A layer whose byte i stems from the characters at 8 i / 6 of a run; places are computed, not kept."""
+
+    def __init__(self, raw: bytes, at: Sequence[int], up: Layer):
+        text, self.wide = _text(raw)
+        super().__init__(text, [], [], [])
+        self.at, self.up = at, up
+
+    def span(self, i: int, j: int) -> tuple[int, int]:
+        size = (lambda x: len(x.encode())) if self.wide else len
+        a = size(self.text[:i])
+        b = a + size(self.text[i:j]) - 1
+        return self.up.span(self.at[a * 8 // 6], self.at[(b * 8 + 7) // 6] + 1)
+
+    def origin(self) -> tuple:
+        return ("base64", *self.up.span(self.at[0], self.at[-1] + 1), len(self.at))
+
+
+def _runs(text: str) -> Iterator[tuple[str, Sequence[int]]]:
+    """What may be base64, with the place of each character: runs, and lines of runs as one."""
+    for m in _BASE64.finditer(text):
+        yield m[0], range(m.start(), m.end())
+    if "\n" in text:
+        for m in _LINES.finditer(text):
+            at = [i for i, c in enumerate(m[0], m.start()) if c not in "\r\n"]
+            yield "".join(text[i] for i in at), at
+
+
+def _based(run: str, at: Sequence[int], up: Layer) -> Iterator[Layer]:
+    """The layers of a run. Encoded data may start anywhere in it, behind other characters: each of the four
+    alignments shows what starts at any of its places, but for compressed data without a strong mark, which is
+    looked for at the run's start and behind each sign that may be a separator."""
+    weak = {0}
+    for m in _SIGN.finditer(run, 0, max(0, len(run) - MIN_BASE64)):
+        if _zlib(run[m.end() : m.end() + 4]):
+            weak.add(m.end())
+    for k in sorted({*range(min(4, len(run) - MIN_BASE64 + 1)), *weak}):
+        raw, places = _decoded_base64(run[k:]), at[k:]
+        start = 0 if k in weak and raw.startswith(tuple(_MAGIC)) else _next(raw, 0)
+        if start < len(raw):
+            inner, big = _unfold(raw[start:])
+            if big or inner != [raw[start:]]:
+                for part in _parts(inner):
+                    if got := _layer([(part, places[start * 8 // 6], places[-1] + 1)], up):
+                        got.oversize, big = big, False
+                        yield got
+                raw = raw[:start]  # what comes before is read as it is
+        if k < 4 and raw:
+            got = Based(raw, places, up)
+            if k == 0 and _readable(got.text) or scan(got.text) or _ENCODED.search(got.text):  # else there is nothing in it
+                yield got
+
+
+def _zlib(start: str) -> bool:
+    head = _decoded_base64(start)
+    return head[:1] == b"\x78" and int.from_bytes(head[:2], "big") % 31 == 0
 
 
 def unwrap(layer: Layer) -> Iterator[Layer]:
@@ -242,34 +313,12 @@ def unwrap(layer: Layer) -> Iterator[Layer]:
             if got := _layer([(c.encode("utf-8", "replace"), i, j) for c, i, j in units], layer):
                 got.tokens = _tokens(_ONE_ESCAPE, m[0])
                 yield got
-    for m in _BASE64.finditer(text):
-        for s in _base64_starts(m[0]):
-            whole = s == 0 or m[0][s - 1] in "/_-"
-            s += m.start()
-            if (raw := _decoded_base64(text[s : m.end()], exact=whole)) is None:
-                continue
-            inner, big = _unfold(raw) if whole else ([raw], False)
-            if not big and inner == [raw]:
-                t, _ = _text(raw)
-                if whole and _readable(t) or scan(t) or _ENCODED.search(t):  # else there is nothing in it
-                    yield _layer([(raw[i : i + 1], s + i * 8 // 6, s + (i * 8 + 7) // 6 + 1) for i in range(len(raw))], layer)
-                continue
-            for part in _parts(inner):
-                if got := _layer([(part, s, m.end())], layer):
-                    got.oversize, big = big, False
-                    yield got
+    for run, at in _runs(text):
+        yield from _based(run, at, layer)
 
 
 def _tokens(encoded: re.Pattern, run: str) -> int:
-    return sum(encoded.search(w) is not None for w in run.split(" "))
-
-
-def _base64_starts(run: str) -> list[int]:
-    """Where in a run of its characters encoded data may start: at its begin, behind a sign that may be a
-    separator, and once for each of the four alignments, so that data behind other characters is seen."""
-    rest = len(run.rstrip("=")) - MIN_BASE64
-    signs = [m.end() for m in _SIGN.finditer(run) if m.end() <= rest]
-    return sorted({0, *(k for k in (1, 2, 3) if k <= rest), *signs})
+    return sum(encoded.search(w) is not None for w in run.split())
 
 
 def find(text: str) -> tuple[list[Span], list[Span], int, int]:
@@ -285,7 +334,7 @@ def find(text: str) -> tuple[list[Span], list[Span], int, int]:
             continue
         oversize += x.oversize
         short = len(x.text) <= STEP
-        known = (x.text if short else hashlib.blake2b(x.text.encode()).digest(), *map(tuple, (x.starts, x.begin, x.end)))
+        known = (x.text if short else hashlib.blake2b(x.text.encode("utf-8", "replace")).digest(), x.origin())
         if known in seen:
             continue
         seen.add(known)
