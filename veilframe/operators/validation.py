@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.typed import canonical
 from ..plans.registry import Registry
 from .order import ROWS_IN_RANGE, running
 from .paging import RefusedError
@@ -147,13 +148,17 @@ def independent_check(source: DataFrame, target: DataFrame, key: str, columns: l
 
 
 def row_digest(df: DataFrame, table: str, columns: list[str], kinds: dict[str, str]) -> F.Column:
-    """SHA-256 over length-prefixed table, and for each column its name, kind and canonical value."""
+    """SHA-256 over length-prefixed table, and for each column its name, kind and canonical value; values without
+    a canonical form are refused."""
     be32 = lambda x: F.unhex(F.lpad(F.hex(x), 8, "0"))
-    field = lambda x: F.concat(be32(F.octet_length(x)), F.encode(x, "UTF-8"))
+    raw = lambda x: F.concat(be32(F.octet_length(x)), x)
+    field = lambda x: raw(F.encode(x, "UTF-8"))
     parts = [field(F.lit(table))]
     for c in columns:
-        v = F.col(c).cast("string")
-        parts += [field(F.lit(c)), field(F.lit(kinds.get(c, "text"))), F.when(v.isNull(), F.unhex(F.lit("00"))).otherwise(F.concat(F.unhex(F.lit("01")), field(v)))]
+        t = df.schema[c].dataType
+        v = canonical(F.col(f"`{c}`"), t)
+        v = v if isinstance(t, T.BinaryType) else F.encode(v, "UTF-8")
+        parts += [field(F.lit(c)), field(F.lit(kinds.get(c, "text"))), F.when(v.isNull(), F.unhex(F.lit("00"))).otherwise(F.concat(F.unhex(F.lit("01")), raw(v)))]
     return F.sha2(F.concat(*parts), 256)
 
 
