@@ -23,6 +23,8 @@ def test_whole_way(spark, world, capsys):
     tmp, base = world
     assert cli.run(["scan", *base], spark) == 0 and "scope 0: sensitive" in capsys.readouterr().out
     assert cli.run(["mask", *base], spark) == 0 and "60 rows would change" in capsys.readouterr().out
+    assert cli.run(["mask", *base, "--limit-per-table", "7"], spark) == 0 and "7 rows would change" in capsys.readouterr().out
+    assert cli.run(["mask", *base, "--limit-per-table", "7", "--apply", "--out", f"{tmp}/out"], spark) == 1
     assert cli.run(["mask", *base, "--apply", "--out", f"{tmp}/out"], spark) == 1  # not approved
     assert cli.run(["approve", *base], spark, 1000) == 0
     assert cli.run(["mask", *base, "--apply", "--out", f"{tmp}/out"], spark, 1000 + 25 * 3600) == 1  # expired

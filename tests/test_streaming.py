@@ -162,3 +162,16 @@ def test_a_target_that_fails_is_final(spark, source, tmp_path):
         run.resume(source, "t", mask, ["id"], ["mail"], gates([]), BINDING)
     with pytest.raises(RefusedError):
         run.move("running")
+
+
+def test_records_of_another_shape_or_without_a_run_are_refused(spark, tmp_path):
+    r = apply.Run(spark, str(tmp_path / "a"), "r1")
+    r.check_records()
+    spark.createDataFrame([("r1", 0)], "run_id string, batch_sequence int").write.parquet(r.receipts_at)
+    with pytest.raises(RefusedError, match="another shape"):
+        r.check_records()
+    r = apply.Run(spark, str(tmp_path / "b"), "r1")
+    r._append(r.receipts_at, apply.RECEIPT, "r1", 0, "r1-0", "t", 1, 1, 1, apply._now(), 0, 1)
+    with pytest.raises(RefusedError, match="without a run"):
+        r.check_records()
+    apply.Run(spark, str(tmp_path / "b"), "r2").check_records()  # another run's records don't matter

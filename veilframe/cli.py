@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .functions.digest import MaskError, MaskPlan
 from .operators import changes, masking, validation
-from .operators.paging import RefusedError
+from .operators.paging import RefusedError, limited
 from .plans import plan as plans
 from .plans.approval import Record, Store, load_trust
 from .plans.registry import GateError, Registry, preflight
@@ -47,6 +47,7 @@ def _arguments() -> argparse.ArgumentParser:
         c.add_argument("--signer", default="")
         c.add_argument("--valid-for", type=int, default=24 * 3600)
         c.add_argument("--apply", action="store_true")
+        c.add_argument("--limit-per-table", type=int, default=0, help="preview only this many rows a table, in key order")
         c.add_argument("--out")
         c.add_argument("--constraints", default="", metavar="FILE", help="JSON, or the SQLite database that the tables come from")
         if name in ("stream", "resume"):
@@ -173,8 +174,10 @@ def run(argv: list[str], spark: SparkSession | None = None, now: int | None = No
                     return 1
                 print(f"table {k}: passed")
                 continue
+            if a.limit_per_table and a.apply:
+                raise GateError("unsupported: applying covers all rows")
             changes.require_lockstep(source[t], target, keys, columns)
-            rows = changes.row_changes(_masked(a, source[t], t, columns, keys), keys, columns)
+            rows = changes.row_changes(_masked(a, limited(source[t], keys, a.limit_per_table), t, columns, keys), keys, columns)
             if not a.apply:
                 print(f"table {k}: {rows.count()} rows would change")
                 continue

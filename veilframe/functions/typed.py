@@ -5,14 +5,14 @@ microsecond, nested values) is refused by category when it is read; nothing is r
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .digest import KINDS, MaskError
 
-_DAY = 86_400_000_000
-
 
 def kind_of(t: T.DataType) -> str:
     if isinstance(t, T.DecimalType):
@@ -27,41 +27,40 @@ def _refuse(what: str) -> Column:
     return F.raise_error(F.lit(f"invalid: {what}"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _float(c: Column) -> Column:
     """Shortest digits; an exponent, of two digits at least, below 1e-4 and from 1e6 (as %g with these digits).
 
     The JVM gives the digits, two at least (so the least number of all has 4.9), and before Java 19 now and then one
     more than needed; they are only placed anew."""
-    parts = F.split(F.abs(c).cast("string"), "E")
-    whole, point = F.split(parts[0], r"\."), F.coalesce(F.try_element_at(parts, F.lit(2)).cast("int"), F.lit(0))
-    every = F.concat(whole[0], whole[1])
-    digits = F.regexp_replace(F.regexp_replace(every, "^0+", ""), "0+$", "")
-    lead = F.length(every) - F.length(F.regexp_replace(every, "^0+", ""))
-    e = point + F.length(whole[0]) - 1 - lead
-    rest = F.when(F.length(digits) > 1, F.concat(F.lit("."), digits.substr(F.lit(2), F.length(digits)))).otherwise("")
-    small = F.lpad(F.abs(e).cast("string"), 2, "0")
-    power = F.concat(digits.substr(1, 1), rest, F.when(e < 0, "e-").otherwise("e+"), F.when(F.abs(e) < 10, small).otherwise(F.abs(e).cast("string")))
-    plain = (
-        F.when(e < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits))
-        .when(F.length(digits) <= e + 1, F.rpad(digits, e + 1, F.lit("0")))
-        .otherwise(F.concat(digits.substr(F.lit(1), e + 1), F.lit("."), digits.substr(e + 2, F.length(digits))))
-    )
-    sign = F.when(c.cast("string").startswith("-"), "-").otherwise("")
-    text = F.concat(sign, F.when(digits == "", "0").when((e < -4) | (e >= 6), power).otherwise(plain))
-    return F.when(F.isnan(c) | (F.abs(c) == float("inf")), _refuse("not finite")).otherwise(text)
 
+    def placed(x: Column) -> Column:
+        digits, e = x["digits"], x["e"]
+        n, up = F.length(digits), F.abs(e).cast("string")
+        point = lambda at: F.concat(digits.substr(F.lit(1), at), F.when(n > at, F.concat(F.lit("."), digits.substr(at + 1, n))).otherwise(""))
+        power = F.concat(point(F.lit(1)), F.when(e < 0, "e-").otherwise("e+"), F.lpad(up, F.greatest(F.length(up), F.lit(2)), F.lit("0")))
+        plain = F.when(e < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)).when(n <= e + 1, F.rpad(digits, e + 1, F.lit("0"))).otherwise(point(e + 1))
+        return F.when(digits == "", "0").when(~e.between(-4, 5), power).otherwise(plain)
 
-def _date(c: Column) -> Column:
-    return F.when(~F.year(c).between(1, 9999), _refuse("date")).otherwise(c.cast("string"))
+    def parts(x: Column) -> Column:
+        every = F.concat(x["whole"], x["part"])
+        after = F.ltrim(every, F.lit("0"))
+        e = x["power"] + F.length(x["whole"]) - 1 - (F.length(every) - F.length(after))
+        return F.struct(F.rtrim(after, F.lit("0")).alias("digits"), e.alias("e"))
+
+    found = lambda t, pattern: F.regexp_extract(t, r"^-?([0-9]+)\.([0-9]+)(?:E(-?[0-9]+))?$", pattern)
+    text = c.cast("string")
+    read = F.struct(found(text, 1).alias("whole"), found(text, 2).alias("part"), F.coalesce(found(text, 3).try_cast("int"), F.lit(0)).alias("power"))
+    number = F.concat(F.when(text.startswith("-"), "-").otherwise(""), _let(_let(read, parts), placed))
+    return F.when(F.isnan(c) | (F.abs(c) == float("inf")), _refuse("not finite")).otherwise(number)
 
 
-def _moment(us: Column) -> Column:
-    """Microseconds since 1970 as a local date and time, a fraction only where there is one."""
-    day, rest = F.floor(us / _DAY).cast("int"), F.pmod(us, F.lit(_DAY))
-    two = lambda n: F.lpad(n.cast("long").cast("string"), 2, "0")
-    clock = F.concat_ws(":", two(F.floor(rest / 3_600_000_000)), two(F.floor(rest / 60_000_000) % 60), two(F.floor(rest / 1_000_000) % 60))
-    fraction = F.regexp_replace(F.lpad((rest % 1_000_000).cast("string"), 6, "0"), "0+$", "")
-    return F.concat(_date(F.date_from_unix_date(day)), F.lit("T"), clock, F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(""))
+def _date(c: Column) -> Column:
+    return F.when(~F.year(c).between(1, 9999), _refuse("date")).otherwise(F.replace(c.cast("string"), F.lit(" "), F.lit("T")))
 
 
 def canonical(c: Column, t: T.DataType) -> Column:
@@ -69,15 +68,12 @@ def canonical(c: Column, t: T.DataType) -> Column:
     kind = kind_of(t)
     if kind == "float":
         return F.when(c.isNotNull(), _float(c.cast("double")))
-    if kind == "date":
+    if kind in ("date", "datetime"):
         return F.when(c.isNotNull(), _date(c))
     if kind == "instant":
-        return F.when(c.isNotNull(), F.concat(_moment(F.unix_micros(c)), F.lit("Z")))
-    if kind == "datetime":
-        day = F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
-        clock = F.hour(c) * 3600 + F.minute(c) * 60
-        us = day * _DAY + clock.cast("long") * 1_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long")
-        return F.when(c.isNotNull(), _moment(us))
+        seconds = (F.unix_micros(c).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+        utc = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)  # whatever the session's zone
+        return F.when(c.isNotNull(), F.concat(_date(utc), F.lit("Z")))
     return c if kind == "bytes" else c.cast("string")
 
 

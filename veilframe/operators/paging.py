@@ -53,6 +53,21 @@ def page(df: DataFrame, keys: list[str], columns: list[str], after: list | None,
     return top.withColumn("ahead", F.row_number().over(Window.orderBy(*keys)) > size)
 
 
+def limited(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """The first rows in key order: a table's row budget (0: all). A bounded top-k, no global sort."""
+    if rows < 0 or not keys:
+        raise RefusedError("invalid: row budget")
+    return df.orderBy(*keys).limit(rows) if rows else df
+
+
+def coverage(columns: DataFrame) -> DataFrame:
+    """tables, columns, rows, complete of per-column results (table_name, column_name, rows, whole).
+
+    A table counts its rows once; without any column nothing is complete."""
+    t = columns.groupBy("table_name").agg(F.count(F.lit(1)).alias("c"), F.max("rows").alias("r"), F.bool_and("whole").alias("w"))
+    return t.agg(F.count(F.lit(1)).alias("tables"), F.coalesce(F.sum("c"), F.lit(0)).alias("columns"), F.coalesce(F.sum("r"), F.lit(0)).alias("rows"), F.coalesce(F.bool_and("w"), F.lit(False)).alias("complete"))
+
+
 def row_bytes(df: DataFrame, columns: list[str] | None = None) -> F.Column:
     """What a row's values take in canonical form; NULL takes nothing. Decimals are not supported."""
     cost = F.lit(0).cast("long")

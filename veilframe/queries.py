@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import expected
 from .fixtures import people_sql
+from .functions import typed
 from .functions.dialect import DUCK, SPARK
 from .functions.digest import MaskPlan
 from .operators import changes, detection, masking, paging, validation
@@ -194,6 +196,35 @@ def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masking.violations(masking.mask_column(d, "email", plan_for("email", "fake_email"), ["c_custkey"]), ["email"])
 
 
+def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical text of each kind, and of text that is read as a kind first."""
+    d = _read(spark, sf_dir, "orders").select(
+        "o_orderkey", F.expr("o_orderkey % 1000 / 8D").alias("f"), F.expr("CAST(o_orderkey % 997 / 4 AS decimal(20, 4))").alias("p"), F.expr("o_orderkey % 2 = 0").alias("b"),
+        F.expr("date_add(date'1960-01-01', CAST(o_orderkey % 30000 AS int))").alias("d"), F.expr("timestamp_ntz'1969-12-31 23:00:00' + make_dt_interval(0, 0, 0, CAST(o_orderkey % 7200 + o_orderkey % 4 / 4 AS decimal(18, 6)))").alias("t"),
+    )
+    kinds = {f.name: f.dataType for f in d.schema}
+    read = typed.parsed(F.concat(F.date_format("d", "yyyy-MM-dd"), F.lit(" 01:02:03.50")), "datetime")
+    return d.select("o_orderkey", *[typed.canonical(F.col(c), kinds[c]).alias(c) for c in ("f", "p", "b", "d", "t")], typed.canonical(read, T.TimestampNTZType()).alias("r"))
+
+
+def limited_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paging.limited(_read(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["conv_id", "turn"], 100)
+
+
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of five columns of three tables, one seen only in part."""
+    parts = [_read(spark, sf_dir, t).agg(F.count(F.lit(1)).alias("rows")).selectExpr(f"'{t}' AS table_name", f"'{c}' AS column_name", "rows", f"{w} AS whole") for t, c, w in (("customer", "c_name", "true"), ("customer", "c_mktsegment", "true"), ("orders", "o_orderpriority", "false"), ("conversations", "role", "true"), ("conversations", "text", "true"))]
+    return paging.coverage(reduce(DataFrame.unionByName, parts))
+
+
+def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts of three runs, of which one was never begun."""
+    r = _read(spark, sf_dir, "orders").selectExpr("concat('run', o_orderkey % 3) AS run_id", "o_orderkey")
+    known, unknown = apply.of_known_runs(r, spark.createDataFrame([("run0",), ("run1",), ("run0",), ("run9",)], "run_id string"))
+    count = lambda d, k: d.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).withColumn("known", F.lit(k))
+    return count(known, True).unionByName(count(unknown, False))
+
+
 # ------------------------------------------------------------------ batches and progress
 
 
@@ -245,7 +276,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f"mask_{s}" if s != "format_random" else "mask_format_random_text": partial(mask_query, c, s, k) for c, s, k in MASKS},
     "mask_format_random_bytes": mask_bytes, "mask_validate_orders": mask_orders, "mask_refusals": refusals, "mask_mapping": mapping,
     "detect_evidence": detect, "detect_addresses": detect_addresses, "detect_verdicts": detect_verdicts, "detect_evaluation": evaluate,
-    "count_rows": count_rows, "sample_values": sample_values, "keyset_page": keyset_page, "bounded_page": bounded_page, "row_costs": row_costs, "batch_ordinals": batch_ordinals,
+    "count_rows": count_rows, "sample_values": sample_values, "keyset_page": keyset_page, "bounded_page": bounded_page, "row_costs": row_costs, "typed_values": typed_values, "limited_rows": limited_rows, "coverage": coverage, "run_records": run_records, "batch_ordinals": batch_ordinals,
     "lockstep_counts": lockstep_counts, "row_changes": row_changes, "merged_rows": merged_rows,
     "validate_issues": validate_issues, "independent_check": independent_check, "key_issues": key_issues, "orphan_rows": orphan_rows, "multiset_difference": multiset, "row_digests": row_digests, "content_digest": content_digest,
     "receipts": receipts, "receipt_summary": receipt_summary, "progress_events": progress, "reconcile_receipts": reconcile, "resume_issues": resume,
@@ -286,6 +317,13 @@ ORACLES: dict[str, str] = {
     "keyset_page": "SELECT conv_id, turn, role, row_number() OVER (ORDER BY conv_id, turn) > 20 AS ahead FROM conversations WHERE (conv_id, turn) > (3, 0) ORDER BY conv_id, turn LIMIT 21",
     "bounded_page": "SELECT c_custkey, c_name, c_mktsegment, row_number() OVER (ORDER BY c_custkey) > 16 AS ahead FROM customer WHERE c_custkey > 10 ORDER BY c_custkey LIMIT 17",
     "row_costs": "SELECT count(*) AS rows, CAST(sum(b) AS bigint) AS total_bytes, CAST(max(b) AS bigint) AS max_row_bytes FROM (SELECT strlen(CAST(c_custkey AS varchar)) + strlen(c_name) + strlen(CAST(c_nationkey AS varchar)) + strlen(c_mktsegment) AS b FROM customer) b_",
+    "typed_values": """SELECT o_orderkey, printf('%g', o_orderkey % 1000 / 8.0) AS f, printf('%.4f', o_orderkey % 997 / 4.0) AS p, CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END AS b,
+  strftime(date '1960-01-01' + CAST(o_orderkey % 30000 AS int), '%Y-%m-%d') AS d,
+  strftime(timestamp '1969-12-31 23:00:00' + to_seconds(o_orderkey % 7200), '%Y-%m-%dT%H:%M:%S') || CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN '.25' WHEN 2 THEN '.5' ELSE '.75' END AS t,
+  strftime(date '1960-01-01' + CAST(o_orderkey % 30000 AS int), '%Y-%m-%d') || 'T01:02:03.5' AS r FROM orders""",
+    "limited_rows": "SELECT conv_id, turn, role FROM conversations ORDER BY conv_id, turn LIMIT 100",
+    "coverage": "SELECT CAST(3 AS bigint) AS tables, CAST(5 AS bigint) AS columns, CAST((SELECT count(*) FROM customer) + (SELECT count(*) FROM orders) + (SELECT count(*) FROM conversations) AS bigint) AS rows, false AS complete",
+    "run_records": "SELECT 'run' || CAST(o_orderkey % 3 AS varchar) AS run_id, count(*) AS n, o_orderkey % 3 <> 2 AS known FROM orders GROUP BY ALL",
     "batch_ordinals": "SELECT c_custkey, CAST((row_number() OVER (ORDER BY c_custkey) - 1) // 64 AS bigint) AS batch_sequence, CAST((row_number() OVER (ORDER BY c_custkey) - 1) % 64 AS int) AS row_in_batch FROM customer",
     "lockstep_counts": f"SELECT count(*) AS rows, count(*) FILTER (id = 5) AS only_source, CAST(0 AS bigint) AS only_target, count(*) FILTER (id <> 5 AND id % 10 = 1) AS conflicts, CAST(0 AS bigint) AS bad_keys FROM {_P}",
     "row_changes": f"SELECT id, nickname AS expected_nickname, nickname_masked AS replacement_nickname FROM ({_NICK}) m_ WHERE nickname IS NOT NULL",

@@ -111,6 +111,17 @@ class Run:
     def target(self) -> DataFrame:
         return self.spark.read.parquet(self.data).drop("batch")
 
+    def check_records(self) -> None:
+        """The records that are there have exactly the declared columns, and no part of them is missing."""
+        for path, schema in ((self.receipts_at, RECEIPT), (self.progress_at, PROGRESS), (f"{self.manifest_at}/{self.run_id}", MANIFEST)):
+            if self._there(path):
+                stored = self.spark.read.option("recursiveFileLookup", "true").parquet(path).schema
+                if [(f.name, f.dataType) for f in stored] != [(f.name, f.dataType) for f in self.spark.createDataFrame([], schema).schema]:
+                    raise RefusedError("conflict: records have another shape")
+        known = self._there(f"{self.manifest_at}/{self.run_id}")
+        if not known and not (self.receipts().isEmpty() and self.progress().isEmpty()):
+            raise RefusedError("conflict: records without a run")
+
     # ---- manifest
 
     def manifest(self) -> dict:
@@ -199,6 +210,7 @@ class Run:
         size = byte_budget(source).first()
         gates.budget.check(size["max_row_bytes"], size["total_bytes"])
         mask(source)
+        self.check_records()
         if self._there(f"{self.manifest_at}/{self.run_id}"):
             raise RefusedError("conflict: run exists")
         self.move("created", binding)
@@ -213,6 +225,7 @@ class Run:
             raise RefusedError("conflict: binding")
         gates.approve()
         gates.preflight()
+        self.check_records()
         behind = reconcile(self.progress(), self.receipts()).where("receipt_rows = 0 OR progress_rows > 0")  # a receipt may be one step ahead
         if not transition_issues(self.progress()).isEmpty() or not behind.isEmpty():
             raise RefusedError("conflict: records")
@@ -271,6 +284,12 @@ def receipt_summary(receipts: DataFrame) -> DataFrame:
     return receipts.agg(F.count(F.lit(1)).alias("batches"), F.coalesce(F.sum("affected_rows"), F.lit(0)).alias("rows"), F.max("batch_sequence").alias("last_batch"))
 
 
+def of_known_runs(records: DataFrame, manifests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records whose run exists, and those whose run doesn't."""
+    runs = manifests.select("run_id").distinct()
+    return records.join(runs, "run_id", "left_semi"), records.join(runs, "run_id", "left_anti")
+
+
 def apply_summary(receipts: DataFrame) -> DataFrame:
     return receipts.groupBy("table_name").agg(F.count(F.lit(1)).alias("batches"), F.sum("affected_rows").alias("rows"), F.max("batch_sequence").alias("last_batch"))
 
