@@ -131,3 +131,25 @@ def test_samples_that_are_too_large_are_refused(spark):
     d = spark.createDataFrame([("x" * ((1 << 20) + 1),), ("a",)], "c string")
     with pytest.raises(RefusedError, match="sample bytes"):
         det.read_verdicts(det.verdicts(d, ["c"]))
+
+
+@pytest.mark.parametrize("one_in", [1, 3, 50, 4096])
+def test_samples_are_the_least_values(spark, one_in):
+    import random
+
+    r = random.Random(one_in)
+    rows = [(r.choice([None, f"v{r.randint(0, 5000):05}", "", " "]), r.choice("abc"), f"{i:06}") for i in range(6000)]
+    d = spark.createDataFrame(rows, "many string, few string, all_ string")
+    got = over(d, det.samples_sql(SPARK, INPUT, d.columns, 40, one_in=one_in))
+    want = {(c, v) for k, c in enumerate(d.columns) for v in sorted({x[k] for x in rows if x[k] is not None})[:40] if v.strip()}
+    assert sorted((x["column_name"], x["value"]) for x in got.collect()) == sorted(want)
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_samples_shuffle_a_part_of_the_values(spark):
+    d = spark.range(200_000).selectExpr("sha2(CAST(id AS string), 256) AS h")
+    plan = over(d, det.samples_sql(SPARK, INPUT, ["h"], 20, one_in=100))
+    assert plan.count() == 20
+    node = plan.selectExpr("count(*)")._jdf.queryExecution()
+    bound = sorted(r[0] for r in d.where("pmod(xxhash64(h), 100) = 0").collect())[19]
+    assert d.where(d.h <= bound).count() < 200_000 / 20 and "BroadcastHashJoin" in node.executedPlan().toString()

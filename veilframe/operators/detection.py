@@ -92,14 +92,24 @@ def _rules(d: Spark) -> list[Rule]:
 BLANK = r"^[\s\p{Z}\x{0085}]*\z"
 
 
-def samples_sql(d: Spark, relation: str, columns: list[str], limit: int, kinds: dict[str, str] | None = None) -> str:
-    """column_name, kind, value: each column's least ``limit`` distinct values that aren't NULL, blanks left out after the cut."""
-    kind = "string" if d.name == "spark" else "varchar"
+#: One in so many distinct values, by hash, tells up to which value a column's sample can reach.
+ONE_IN = 4096
+
+
+def samples_sql(d: Spark, relation: str, columns: list[str], limit: int, kinds: dict[str, str] | None = None, one_in: int = ONE_IN) -> str:
+    """column_name, kind, value: each column's least ``limit`` distinct values that aren't NULL, blanks left out after the cut.
+
+    Not all distinct values are shuffled: the limit-th of some of them is no less than the limit-th of all, so a
+    first scan of one in ``one_in`` gives a bound (one row a column, broadcast) beyond which the second leaves rows out."""
     of = lambda c: d.text((kinds or {}).get(c, "text"))
-    parts = [f"SELECT {d.text(c)} AS column_name, {of(c)} AS kind, CAST({d.ident(c)} AS {kind}) AS value FROM {relation} WHERE {d.ident(c)} IS NOT NULL" for c in columns]
+    least = lambda rows: f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY value) AS n_ FROM (SELECT DISTINCT * FROM ({rows}) u_) v_) w_ WHERE n_ <= {limit}"
     if d.name == "spark":  # one scan for all columns
-        parts = [f"SELECT column_name, kind, value FROM (SELECT stack({len(columns)}, {', '.join(f'{d.text(c)}, {of(c)}, CAST({d.ident(c)} AS string)' for c in columns)}) AS (column_name, kind, value) FROM {relation}) st_ WHERE value IS NOT NULL"]
-    return f"SELECT column_name, kind, value FROM (SELECT column_name, kind, value, row_number() OVER (PARTITION BY column_name ORDER BY value) AS n_ FROM (SELECT DISTINCT column_name, kind, value FROM ({' UNION ALL '.join(parts)}) u_) v_) w_ WHERE n_ <= {limit} AND NOT {d.match('value', BLANK)}"
+        rows = f"SELECT column_name, kind, value FROM (SELECT stack({len(columns)}, {', '.join(f'{d.text(c)}, {of(c)}, CAST({d.ident(c)} AS string)' for c in columns)}) AS (column_name, kind, value) FROM {relation}) st_ WHERE value IS NOT NULL"
+        top = f"SELECT column_name AS of_, max(value) AS top_ FROM ({least(f'SELECT column_name, value FROM ({rows}) r_ WHERE pmod(xxhash64(value), {one_in}) = 0')}) t_ GROUP BY column_name HAVING count(*) = {limit}"
+        rows = f"SELECT /*+ BROADCAST(b_) */ column_name, kind, value FROM ({rows}) r_ LEFT JOIN ({top}) b_ ON column_name = of_ WHERE top_ IS NULL OR value <= top_"
+    else:
+        rows = " UNION ALL ".join(f"SELECT {d.text(c)} AS column_name, {of(c)} AS kind, CAST({d.ident(c)} AS varchar) AS value FROM {relation} WHERE {d.ident(c)} IS NOT NULL" for c in columns)
+    return f"SELECT column_name, kind, value FROM ({least(rows)}) s_ WHERE NOT {d.match('value', BLANK)}"
 
 
 def column_kinds(df: DataFrame, columns: list[str]) -> dict[str, str]:
